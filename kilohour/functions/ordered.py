@@ -36,6 +36,7 @@ def walk(
 
     ``chunk`` must grow with ``order``. ``breaks(prev, cur)`` says where a new island starts; the
     first row of a key always starts one. Island and row numbers count from 1 within a key.
+    Keys and order columns must not be null; rows where they are belong to no series.
     """
     keys, order = list(keys), list(order)
     if isinstance(chunk, Column):
@@ -76,7 +77,7 @@ def walk(
         chunks = chunks.withColumn("_row_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         carried.append("_row_base")
 
-    joined = _join_on(local, chunks.select(*group, *carried), group)
+    joined = local.join(chunks.select(*group, *carried), group)
     result = joined.withColumn(prev, F.coalesce(F.col(prev), F.col("_before")))
     drop = ["_before", "_base", "_run", "_row_base", "_local_row"]
     if breaks is not None:
@@ -120,6 +121,14 @@ def keep_last(df: DataFrame, keys: Sequence[str], precedence: Sequence[str]) ->
     return best.select(*[F.col(c) if c in keys else F.col("_best")[c].alias(c) for c in columns])
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """Several one-row frames as one row; a union and an aggregate, so nothing is cross-joined."""
+    stacked = frames[0]
+    for frame in frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def exact_quantiles(
     df: DataFrame, *, keys: Sequence[str], value: str, probabilities: dict[str, float], splits: int = 64
 ) -> DataFrame:
@@ -128,14 +137,17 @@ def exact_quantiles(
     Equal values are counted first. A mergeable sketch only chooses bucket borders; ranks are
     exact, and no task sees more than one bucket of one key.
     """
-    keys = list(keys)
-    data = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
+    wanted, keys = list(keys), list(keys) or ["_all"]
+    data = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("_all", F.lit(0))
+    data = data.select(*keys, F.col(value).cast("double").alias("_v"))
     counted = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     borders = [i / splits for i in range(1, splits)]
     sketch = data.groupBy(*keys).agg(
         F.percentile_approx("_v", borders, 10_000).alias("_borders"), F.count(F.lit(1)).alias("_total")
     )
-    bucketed = _join_on(counted, sketch, keys).withColumn(
+    if not wanted:
+        sketch = F.broadcast(sketch)  # a global aggregate: exactly one row
+    bucketed = counted.join(sketch, keys).withColumn(
         "_bucket", F.size(F.filter("_borders", lambda b: b <= F.col("_v")))
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -143,7 +155,7 @@ def exact_quantiles(
     per_bucket = ranked.groupBy(*keys, "_bucket").agg(F.max("_upto").alias("_in_bucket"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("_base", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)))
-    spans = _join_on(ranked, per_bucket.select(*keys, "_bucket", "_base"), [*keys, "_bucket"]).withColumn(
+    spans = ranked.join(per_bucket.select(*keys, "_bucket", "_base"), [*keys, "_bucket"]).withColumn(
         "_last", F.col("_base") + F.col("_upto")  # ranks (last - n, last], counted from 1
     )
     found = []
@@ -158,19 +170,7 @@ def exact_quantiles(
         position = F.lit(float(p)) * (F.col("_total") - 1)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return wide.select(*keys, *out)
-
-
-def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys that also matches null keys; a single summary row if there are no keys."""
-    if not keys:
-        return left.join(right.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one")).drop("_one")
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    condition = None
-    for name in keys:
-        same = F.col(name).eqNullSafe(F.col(f"_r_{name}"))
-        condition = same if condition is None else condition & same
-    return left.join(renamed, condition, "inner").drop(*[f"_r_{name}" for name in keys])
+    return wide.select(*wanted, *out)
 
 
 def _fields(struct: Column) -> Field:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote, quote_plus
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kilohour.functions.time import iso_z
 
-# Key names whose content never leaves the ingest boundary, and the replacement.
-SECRET_KEYS = ("api_key", "apikey", "api-key", "authorization", "password", "secret", "token")
+# The credential field of page requests and the replacement text.
+SECRET_KEY = "api_key"
 REDACTED = "[REDACTED]"
 
 
@@ -42,12 +44,11 @@ def json_or_empty(*fields: Column) -> Column:
 
 
 def redact(column: Column, secrets: tuple[str, ...] = ()) -> Column:
-    """Hide values of secret-looking keys in JSON text, headers and query strings, and given secrets."""
-    keys = "|".join(SECRET_KEYS)
-    out = F.regexp_replace(column, rf'(?i)("(?:[^"]*(?:{keys})[^"]*)"\s*:\s*)"[^"]*"', f'$1"{REDACTED}"')
-    out = F.regexp_replace(out, rf"(?i)\b((?:{keys})\s*=\s*)[^&\s\",;]+", f"$1{REDACTED}")
-    out = F.regexp_replace(out, r"(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]+", f"$1{REDACTED}")
+    """Hide the credential in JSON text and query strings, and given secrets plain or URL-encoded."""
+    out = F.regexp_replace(column, rf'(?i)("{SECRET_KEY}"\s*:\s*)"[^"]*"', f'$1"{REDACTED}"')
+    out = F.regexp_replace(out, rf"(?i)({SECRET_KEY}=)[^&\s\"',;]+", f"$1{REDACTED}")
     for secret in secrets:
-        if secret:
-            out = F.replace(out, F.lit(secret), F.lit(REDACTED))
+        for form in sorted({secret, quote(secret, safe=""), quote_plus(secret, safe="")}, key=len, reverse=True):
+            if form:
+                out = F.replace(out, F.lit(form), F.lit(REDACTED))
     return out
