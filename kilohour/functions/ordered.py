@@ -31,12 +31,17 @@ def walk(
     prev: str = "_prev",
     island: str = "_island",
     row: str | None = None,
+    first: str | None = None,
 ) -> DataFrame:
     """Add the previous row of each key as a struct and, optionally, island and row numbers.
 
     ``chunk`` must grow with ``order``. ``breaks(prev, cur)`` says where a new island starts; the
     first row of a key always starts one. Island and row numbers count from 1 within a key.
-    Keys and order columns must not be null; rows where they are belong to no series.
+    ``first`` names a struct column for the key's first row. Rows whose key or order columns are
+    null belong to no series and are left out.
+
+    The data is shuffled once: rows and summaries are built on the same exchange. Both keep all
+    columns they were given up to that point, so pass only what is needed afterwards.
     """
     keys, order = list(keys), list(order)
     if isinstance(chunk, Column):
@@ -45,50 +50,69 @@ def walk(
         parts, chunked = list(chunk), df
     group = list(dict.fromkeys([*keys, *parts]))
     fields = list(dict.fromkeys([*order, *carry]))
+    for name in dict.fromkeys([*group, *order]):
+        chunked = chunked.where(F.col(name).isNotNull())
+    given = chunked.columns
     cur = F.struct(*[F.col(name) for name in fields])
     inside = Window.partitionBy(*group).orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
 
     local = chunked.withColumn(prev, F.lag(cur).over(inside))
-    summary = [F.min_by(cur, F.struct(*order)).alias("_head"), F.max_by(cur, F.struct(*order)).alias("_tail")]
+    summary = [F.min_by(cur, F.struct(*order)).alias("_w_head"), F.max_by(cur, F.struct(*order)).alias("_w_tail")]
     if breaks is not None:
         new = F.when(F.col(prev).isNull(), 0).otherwise(
             F.coalesce(breaks(_fields(F.col(prev)), F.col).cast("int"), F.lit(1))
         )
-        local = local.withColumn("_run", F.sum(new).over(running))
-        summary.append(F.max("_run").alias("_breaks"))
+        local = local.withColumn("_w_run", F.sum(new).over(running))
+        summary.append(F.max("_w_run").alias("_w_breaks"))
     if row is not None:
-        local = local.withColumn("_local_row", F.row_number().over(inside).cast("long"))
-        summary.append(F.count(F.lit(1)).alias("_rows"))
+        local = local.withColumn("_w_local_row", F.row_number().over(inside).cast("long"))
+        summary.append(F.count(F.lit(1)).alias("_w_rows"))
 
+    local = _same_columns(local, given)
     across = Window.partitionBy(*keys).orderBy(*parts)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    chunks = local.groupBy(*group).agg(*summary).withColumn("_before", F.lag("_tail").over(across))
-    carried = ["_before"]
+    chunks = local.groupBy(*group).agg(*summary).withColumn("_w_before", F.lag("_w_tail").over(across))
+    carried = ["_w_before"]
     if breaks is not None:
-        first = F.when(F.col("_before").isNull(), 1).otherwise(
-            F.coalesce(breaks(_fields(F.col("_before")), _fields(F.col("_head"))).cast("int"), F.lit(1))
+        opens = F.when(F.col("_w_before").isNull(), 1).otherwise(
+            F.coalesce(breaks(_fields(F.col("_w_before")), _fields(F.col("_w_head"))).cast("int"), F.lit(1))
         )
-        chunks = chunks.withColumn("_first", first).withColumn(
-            "_base", F.coalesce(F.sum(F.col("_first") + F.col("_breaks")).over(before), F.lit(0)) + F.col("_first")
+        chunks = chunks.withColumn("_w_first", opens).withColumn(
+            "_w_base", F.coalesce(F.sum(F.col("_w_first") + F.col("_w_breaks")).over(before), F.lit(0)) + F.col("_w_first")
         )
-        carried.append("_base")
+        carried.append("_w_base")
     if row is not None:
-        chunks = chunks.withColumn("_row_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        carried.append("_row_base")
+        chunks = chunks.withColumn("_w_row_base", F.coalesce(F.sum("_w_rows").over(before), F.lit(0)))
+        carried.append("_w_row_base")
+
+    if first is not None:
+        start = across.rowsBetween(Window.unboundedPreceding, 0)
+        chunks = chunks.withColumn(first, F.first("_w_head").over(start))
+        carried.append(first)
 
     joined = local.join(chunks.select(*group, *carried), group)
-    result = joined.withColumn(prev, F.coalesce(F.col(prev), F.col("_before")))
-    drop = ["_before", "_base", "_run", "_row_base", "_local_row"]
+    result = joined.withColumn(prev, F.coalesce(F.col(prev), F.col("_w_before")))
+    drop = ["_w_before", "_w_base", "_w_run", "_w_row_base", "_w_local_row"]
     if breaks is not None:
-        result = result.withColumn(island, (F.col("_base") + F.col("_run")).cast("long"))
+        result = result.withColumn(island, (F.col("_w_base") + F.col("_w_run")).cast("long"))
     if row is not None:
-        result = result.withColumn(row, (F.col("_row_base") + F.col("_local_row")).cast("long"))
+        result = result.withColumn(row, (F.col("_w_row_base") + F.col("_w_local_row")).cast("long"))
     if isinstance(chunk, Column):
         drop.append("_chunk")
     return result.drop(*drop)
 
 
+def _same_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Keep column pruning from giving two users of a frame different shuffles underneath.
+
+    The condition always holds, but the optimizer cannot tell, so every reader needs all columns and
+    Spark reuses the one exchange instead of reading and shuffling the source again.
+    """
+    hashable = [f.name for f in df.schema.fields if f.name in names and f.dataType.typeName() not in ("map", "variant")]
+    return df.where(F.hash(*hashable) >= F.lit(-(2**31)))
+
+
 def with_lookback(df: DataFrame, *, index: Column, chunk_rows: int, lookback: int) -> DataFrame:
     """Add ``_chunk`` and ``_own`` and copy the last ``lookback`` index positions to later chunks.
 

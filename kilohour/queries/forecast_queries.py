@@ -41,15 +41,15 @@ def _metrics_sql(by: str, order: str) -> str:
     part = f"PARTITION BY {by} " if by else ""
     pick = f"{by}, " if by else ""
     return f"""
-SELECT {pick}count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse,
-  round(sum(abs(e)) / nullif(sum(abs(actual_value)), 0), 6) AS wape,
-  round(CASE WHEN avg(abs(step)) > 0 THEN avg(abs(e)) / avg(abs(step)) END, 6) AS mase, round(avg(e), 6) AS bias
+SELECT {pick}count(*) AS n, round(avg(abs(e)) + 1e-9, 6) AS mae, round(sqrt(avg(e * e)) + 1e-9, 6) AS rmse,
+  round(sum(abs(e)) / nullif(sum(abs(actual_value)), 0) + 1e-9, 6) AS wape,
+  round(CASE WHEN avg(abs(step)) > 0 THEN avg(abs(e)) / avg(abs(step)) END + 1e-9, 6) AS mase, round(avg(e) + 1e-9, 6) AS bias
 FROM (SELECT *, actual_value - lag(actual_value) OVER ({part}ORDER BY {order}) AS step FROM both_known)
 {'GROUP BY ' + by if by else ''}"""
 
 
 def _rounded(df, names=metrics.NAMES, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[F.round(F.col(c) + 1e-9, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 @query("m1_last_value", with_sql("hourly") + """,
@@ -98,11 +98,11 @@ def m5(spark, d):
 
 
 @query("m6_baseline_leaderboard", with_sql("hourly") + _WINDOWS_SQL + """,
-o AS (""" + _metrics_sql("model_name", "validation_window, region, timestamp_utc").replace("round(", "(").replace(", 6)", ")") + """),
+o AS (""" + _metrics_sql("model_name", "validation_window, region, timestamp_utc").replace("round(", "(").replace(" + 1e-9, 6)", ")") + """),
 r AS (SELECT max(wape) FILTER (model_name = 'seasonal_naive_24h') AS r24, max(wape) FILTER (model_name = 'seasonal_naive_168h') AS r168 FROM o)
-SELECT row_number() OVER (ORDER BY wape, mae, model_name) AS rank, model_name, round(mae, 6) AS mae, round(rmse, 6) AS rmse,
-  round(wape, 6) AS wape, round(mase, 6) AS mase, round(bias, 6) AS forecast_bias,
-  round((r24 - wape) / r24, 6) AS improvement_vs_seasonal_24, round((r168 - wape) / r168, 6) AS improvement_vs_seasonal_168 FROM o, r""")
+SELECT row_number() OVER (ORDER BY wape, mae, model_name) AS rank, model_name, round(mae + 1e-9, 6) AS mae, round(rmse + 1e-9, 6) AS rmse,
+  round(wape + 1e-9, 6) AS wape, round(mase + 1e-9, 6) AS mase, round(bias + 1e-9, 6) AS forecast_bias,
+  round((r24 - wape) / r24 + 1e-9, 6) AS improvement_vs_seasonal_24, round((r168 - wape) / r168 + 1e-9, 6) AS improvement_vs_seasonal_168 FROM o, r""")
 def m6(spark, d):
     """All baselines scored and ranked."""
     overall = metrics.forecast_metrics(_evaluated(spark, d), ["model_name"])
@@ -113,7 +113,7 @@ def m6(spark, d):
 @query("m13_promotion_gate", with_sql("hourly") + _WINDOWS_SQL + """,
 o AS (SELECT model_name, sum(abs(e)) / sum(abs(actual_value)) AS wape FROM both_known GROUP BY 1),
 g AS (SELECT model_name, (ref - wape) / ref AS gain FROM o, (SELECT wape AS ref FROM o WHERE model_name = 'last_value'))
-SELECT model_name, true AS candidate_assigned, gain >= 0.02 AS champion_promoted, round(gain, 6) AS improvement FROM g""")
+SELECT model_name, true AS candidate_assigned, gain >= 0.02 AS champion_promoted, round(gain + 1e-9, 6) AS improvement FROM g""")
 def m13(spark, d):
     overall = metrics.forecast_metrics(_evaluated(spark, d), ["model_name"]).withColumnRenamed("bias", "forecast_bias")
     reference = overall.where("model_name = 'last_value'").select(F.col("wape").alias("reference_wape"))
@@ -148,10 +148,10 @@ def a11(spark, d):
 @query("a12_target_metrics", with_sql("hourly") + _WINDOWS_SQL + """,
 t AS (SELECT model_name, CASE WHEN actual_value < 5 THEN 0 ELSE actual_value END AS actual, greatest(predicted_value - 10, 0) AS pred,
   predicted_value - 10 < 0 AS clipped, hour(timestamp_utc) BETWEEN 6 AND 18 AS day FROM both_known)
-SELECT model_name, round(avg(abs(actual - pred)) / (max(actual) - min(actual)), 6) AS normalized_mae,
-  round(sqrt(avg((actual - pred) * (actual - pred))) / (max(actual) - min(actual)), 6) AS normalized_rmse,
-  round(avg(abs(pred)) FILTER (actual = 0), 6) AS zero_generation_mae, count(*) FILTER (clipped) AS forecast_clipping_count,
-  round(avg(abs(actual - pred)) FILTER (day), 6) AS daytime_mae FROM t GROUP BY 1""")
+SELECT model_name, round(avg(abs(actual - pred)) / (max(actual) - min(actual)) + 1e-9, 6) AS normalized_mae,
+  round(sqrt(avg((actual - pred) * (actual - pred))) / (max(actual) - min(actual)) + 1e-9, 6) AS normalized_rmse,
+  round(avg(abs(pred)) FILTER (actual = 0) + 1e-9, 6) AS zero_generation_mae, count(*) FILTER (clipped) AS forecast_clipping_count,
+  round(avg(abs(actual - pred)) FILTER (day) + 1e-9, 6) AS daytime_mae FROM t GROUP BY 1""")
 def a12(spark, d):
     """Range-normalised and conditional errors after clipping."""
     rows = _evaluated(spark, d).where("predicted_value IS NOT NULL AND actual_value IS NOT NULL")
