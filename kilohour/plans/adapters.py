@@ -204,6 +204,36 @@ def dispatch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def batteries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A battery fleet: one battery per supplier, placed in the region of an event type."""
+    k = F.col("s_suppkey")
+    types = F.array(*[F.lit(t) for t in ("click", "error", "purchase", "signup", "view")])
+    size = F.lit(40.0) + k % 20
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("b"), k.cast("string")).alias("battery_id"),
+        F.element_at(types, (k % 5 + 1).cast("int")).alias("region"),
+        size.alias("capacity_mwh"), (size / 8).alias("max_charge_mw"), (size / 10).alias("max_discharge_mw"),
+        (size * 0.05).alias("min_soc_mwh"), (size * 0.95).alias("max_soc_mwh"), (size * 0.5).alias("initial_soc_mwh"),
+        (size * 0.5).alias("terminal_soc_target_mwh"), F.lit(0.9).alias("charge_efficiency"),
+        F.lit(0.8).alias("discharge_efficiency"), F.lit(0.01).alias("self_discharge_rate"),
+        F.lit(1.5).alias("maximum_daily_cycles"), F.lit(2.0).alias("degradation_cost_per_mwh"),
+        (size * 0.1).alias("reserve_soc_mwh"),
+    )
+
+
+def target_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand and solar forecasts of every origin; wind at even days only, some hours cut out."""
+    base = forecasts(spark, sf_dir).where("model_name = 'seasonal_a'")
+    v = F.col("predicted_value")
+    parts = F.array(
+        F.struct(F.lit("demand_mw").alias("t"), v.alias("v")),
+        F.struct(F.lit("solar_generation_mw").alias("t"), (v * 0.25).alias("v")),
+        F.struct(F.lit("wind_generation_mw").alias("t"), (v * 0.125).alias("v")),
+    )
+    rows = base.withColumn("_p", F.explode(parts)).withColumn("target", F.col("_p.t")).withColumn("predicted_value", F.col("_p.v"))
+    return rows.where("target <> 'wind_generation_mw' OR day(forecast_origin) % 2 = 0").drop("_p")
+
+
 _HOURLY = """
 hourly AS (SELECT event_type AS region, date_trunc('hour', ts) AS timestamp_utc,
   CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS demand_mw, count(*) AS readings
@@ -273,6 +303,21 @@ forecasts AS (SELECT s.region, 'demand_mw' AS target, date_trunc('day', s.timest
     date_diff('hour', date_trunc('day', s.timestamp_utc) - o.back, s.timestamp_utc) AS forecast_step
   FROM hourly s JOIN hourly p ON p.region = s.region AND p.timestamp_utc + INTERVAL 24 HOUR = s.timestamp_utc,
   (VALUES (INTERVAL 1 HOUR, 'seasonal_a'), (INTERVAL 25 HOUR, 'seasonal_b')) AS o(back, m))""",
+    "batteries": """
+batteries AS (SELECT 'b' || CAST(s_suppkey AS VARCHAR) AS battery_id, ['click','error','purchase','signup','view'][s_suppkey % 5 + 1] AS region,
+    40.0::DOUBLE + s_suppkey % 20 AS cap FROM supplier)""",
+    "target_forecasts": """
+tf AS (SELECT f.region, f.forecast_origin, f.timestamp_utc, p.t AS target, f.predicted_value * p.k AS predicted_value
+  FROM forecasts f, (VALUES ('demand_mw', 1.0::DOUBLE), ('solar_generation_mw', 0.25::DOUBLE), ('wind_generation_mw', 0.125::DOUBLE)) p(t, k)
+  WHERE f.model_name = 'seasonal_a' AND (p.t <> 'wind_generation_mw' OR day(f.forecast_origin) % 2 = 0)),
+heads AS (SELECT region, forecast_origin, bool_or(target = 'wind_generation_mw') AS has_wind FROM tf GROUP BY 1, 2),
+inputs AS (SELECT h.region, h.forecast_origin, h.forecast_origin + s * INTERVAL 1 HOUR AS timestamp_utc, s AS forecast_step,
+    max(predicted_value) FILTER (target = 'demand_mw') AS demand_forecast_mw,
+    max(predicted_value) FILTER (target = 'solar_generation_mw') AS solar_forecast_mw,
+    CASE WHEN any_value(has_wind) THEN max(predicted_value) FILTER (target = 'wind_generation_mw') ELSE 0 END AS wind_forecast_mw
+  FROM heads h CROSS JOIN range(1, 25) r(s)
+  LEFT JOIN tf ON tf.region = h.region AND tf.forecast_origin = h.forecast_origin AND tf.timestamp_utc = h.forecast_origin + s * INTERVAL 1 HOUR
+  GROUP BY 1, 2, 3, 4)""",
     "dispatch": """
 dispatch AS (SELECT 'run-' || region AS dispatch_run_id, region, timestamp_utc, demand_mw AS demand_forecast_mw,
     demand_mw * 0.25 AS renewable_forecast_mw, demand_mw * 0.75 AS net_load_before_battery_mw,

@@ -90,7 +90,9 @@ g AS (SELECT region, unnest(generate_series(s + INTERVAL 1 HOUR, e - INTERVAL 1
   date_diff('hour', s, e) - 1 AS gap FROM p WHERE date_diff('hour', s, e) > 1)
 """ + _event_sql("'missing_timestamp'", "CASE WHEN gap >= 3 THEN 80 ELSE 45 END", "CASE WHEN gap >= 3 THEN 'critical' ELSE 'warning' END", "g"))
 def d1d(spark, d):
-    return _brief(_rules().missing_hours(a.hourly_by_type(spark, d)))
+    rules = _rules()
+    events = rules.row_rules(rules.linked_rows(rules.unique_rows(a.hourly_by_type(spark, d))))
+    return _brief(events.where("anomaly_type = 'missing_timestamp'"))
 
 
 @query("d1e_invalid_values", with_sql("hourly") + """,
@@ -126,7 +128,7 @@ def d1g(spark, d):
     """Sudden demand changes with severity score and band."""
     rules = _rules()
     events = rules.row_rules(rules.linked_rows(rules.unique_rows(a.hourly_by_type(spark, d))))
-    return _brief(events.where("anomaly_type <> 'unexpected_frequency'"), "observed_value", "expected_value", "residual")
+    return _brief(events.where("anomaly_type LIKE 'demand%'"), "observed_value", "expected_value", "residual")
 
 
 @query("d1g_wind_drops", with_sql("hourly") + _change_sql("0.3", "CASE WHEN (v - p) / abs(p) <= -0.3 THEN 'renewable_drop' END")
@@ -183,9 +185,9 @@ def d1i(spark, d):
 
 @query("d1j_stale_observations", with_sql("hourly") + """,
 l AS (SELECT region, max(timestamp_utc) AS timestamp_utc FROM hourly GROUP BY 1)
-""" + _event_sql("'stale_observation'", "40", "'warning'", "l WHERE TIMESTAMP '2024-01-31 12:00:00' - timestamp_utc > INTERVAL 13 HOUR"))
+""" + _event_sql("'stale_observation'", "40", "'warning'", "l WHERE TIMESTAMP '2024-01-31 12:00:00' - timestamp_utc > INTERVAL 12 HOUR"))
 def d1j(spark, d):
-    rules = _rules(settings=RuleSettings(stale_hours=13))
+    rules = _rules(settings=RuleSettings(stale_hours=12))
     return _brief(rules.stale(a.hourly_by_type(spark, d)))
 
 
@@ -360,7 +362,8 @@ def e1(spark, d):
 
 def _change_events(spark, d):
     rules = _rules()
-    return rules.row_rules(rules.linked_rows(rules.unique_rows(a.hourly_by_type(spark, d))))
+    events = rules.row_rules(rules.linked_rows(rules.unique_rows(a.hourly_by_type(spark, d))))
+    return events.where("anomaly_type IN ('unexpected_frequency', 'demand_spike', 'demand_drop')")
 
 
 _ALERTS_SQL = with_sql("hourly", "regional_weather", "renewables") + _RULE_PARTS + """,
