@@ -132,6 +132,20 @@ def with_lookback(df: DataFrame, *, index: Column, chunk_rows: int, lookback: in
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters must not recompute.
+
+    A filter pushed below a projection copies the projected expressions into itself, once per use.
+    Generated columns are not pushed through, so expensive ones are evaluated once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def keep_last(df: DataFrame, keys: Sequence[str], precedence: Sequence[str]) -> DataFrame:
     """One row per key, the one with the greatest precedence.
 
@@ -154,7 +168,7 @@ def side_by_side(*frames: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, *, keys: Sequence[str], value: str, probabilities: dict[str, float], splits: int = 64
+    df: DataFrame, *, keys: Sequence[str], value: str, probabilities: dict[str, float], splits: int = 32
 ) -> DataFrame:
     """Linear-interpolated quantiles per key by rank, one column per probability.
 
@@ -167,7 +181,7 @@ def exact_quantiles(
     counted = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     borders = [i / splits for i in range(1, splits)]
     sketch = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", borders, 10_000).alias("_borders"), F.count(F.lit(1)).alias("_total")
+        F.percentile_approx("_v", borders, 2_000).alias("_borders"), F.count(F.lit(1)).alias("_total")
     )
     if not wanted:
         sketch = F.broadcast(sketch)  # a global aggregate: exactly one row

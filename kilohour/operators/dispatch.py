@@ -286,7 +286,11 @@ def policy_schedules(
     origins run in parallel. ``batteries`` carries a ``region`` column.
     """
     packed = _packed(inputs, ["region", "forecast_origin"])
-    runs = packed.join(batteries, "region").withColumn("_out", _fold("_rows", policy, hours))
+    # Battery and origin pairs are small rows but much work: spread them before the horizons join in.
+    tasks = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = packed.select("region", "forecast_origin").join(batteries, "region")
+    pairs = pairs.repartition(tasks, "battery_id", "forecast_origin")
+    runs = pairs.join(packed, ["region", "forecast_origin"]).withColumn("_out", _fold("_rows", policy, hours))
     exploded = runs.select("region", "battery_id", "degradation_cost_per_mwh", F.explode(F.arrays_zip("_rows", "_out")).alias("_p"))
     return _points(exploded, policy, created_at)
 
