@@ -1,6 +1,14 @@
 """All registered queries."""
 
-from kilohour.queries import (detect_queries, dispatch_queries, forecast_queries, ingest_queries, read_queries, series_queries)  # noqa: F401
+from kilohour.queries import (  # noqa: F401
+    detect_queries,
+    dispatch_queries,
+    forecast_queries,
+    ingest_queries,
+    model_queries,
+    read_queries,
+    series_queries,
+)
 from kilohour.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
