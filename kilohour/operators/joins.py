@@ -124,3 +124,21 @@ def component_net_load(demand: DataFrame, solar: DataFrame, wind: DataFrame, key
         .join(wind.select(*keys, F.col("predicted_value").alias("_w")), list(keys), "full")
     )
     return joined.select(*keys, (F.col("_d") - F.col("_s") - F.col("_w")).alias("predicted_value"))
+
+
+def target_frame(
+    target: str, demand: DataFrame, renewables: DataFrame | None = None, *, start: object = None, end: object = None,
+    spec: SeriesSpec = HOURLY,
+) -> DataFrame:
+    """Rows of one target inside an inclusive range; net load comes with its two components."""
+    if target == "demand_mw":
+        rows = demand.select(*spec.key, target)
+    elif target == "net_load_mw":
+        rows = net_load(demand, renewables, spec)
+    else:
+        rows = renewables.select(*spec.key, target)
+    if start is not None:
+        rows = rows.where(F.col(spec.time) >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        rows = rows.where(F.col(spec.time) <= F.lit(end).cast("timestamp"))
+    return rows

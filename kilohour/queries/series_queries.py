@@ -344,3 +344,63 @@ def daily_orders(spark, d):
     return segments.groupBy("o_custkey").agg(
         F.max("segment_no").alias("segments"), F.max("row_count").alias("longest")
     )
+
+
+_WEATHER_SEGMENTS = with_sql("hourly", "regional_weather") + "," + a.SQL["segments"].replace("FROM hourly", "FROM regional_weather")
+
+
+def _weather_lag_sql(columns, lags, rolls) -> str:
+    parts = [f"lag({c}, {k}) OVER s AS {c}_lag_{k}" for c in columns for k in lags]
+    for c in columns:
+        for n in rolls:
+            frame = f"OVER (PARTITION BY region, seg ORDER BY timestamp_utc ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+            parts.append(f"CASE WHEN count({c}) {frame} = {n} THEN round(avg({c}) {frame} + 1e-9, 6) END AS {c}_rolling_mean_{n}")
+    return ", ".join(parts)
+
+
+_WIDE = features.WEATHER_COLUMNS
+
+
+@query("f3_weather_features", _WEATHER_SEGMENTS + f""",
+w AS (SELECT *, {_weather_lag_sql(_WIDE, features.WEATHER_LAGS, features.WEATHER_WINDOWS)} FROM segs
+  WINDOW s AS (PARTITION BY region, seg ORDER BY timestamp_utc))
+SELECT region, timestamp_utc, {", ".join(f"{c}_lag_{k}" for c in _WIDE for k in features.WEATHER_LAGS)},
+  {", ".join(f"{c}_rolling_mean_{n}" for c in _WIDE for n in features.WEATHER_WINDOWS)} FROM w
+WHERE temperature_c_lag_24 IS NOT NULL""")
+def f3(spark, d):
+    """Weather lags and rolling means of complete rows of the oracle mode."""
+    out = features.weather_features(a.regional_weather(spark, d), mode="historical_oracle", spec=SMALL)
+    lags = [f"{c}_lag_{k}" for c in _WIDE for k in features.WEATHER_LAGS]
+    rolls = [f"{c}_rolling_mean_{n}" for c in _WIDE for n in features.WEATHER_WINDOWS]
+    return out.select("region", "timestamp_utc", *lags, *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in rolls])
+
+
+@query("w6_persistence_weather", _WEATHER_SEGMENTS + """,
+w AS (SELECT region, timestamp_utc, lag(temperature_c, 24) OVER s AS temperature_c, lag(wind_direction_10m_deg, 24) OVER s AS wind_direction_10m_deg FROM segs
+  WINDOW s AS (PARTITION BY region, seg ORDER BY timestamp_utc))
+SELECT *, 'forecast' AS weather_data_type FROM w WHERE temperature_c IS NOT NULL""")
+def w6(spark, d):
+    """Weather of the day before in the same segment, relabelled as a forecast."""
+    out = features.persistence_weather(a.regional_weather(spark, d), spec=SMALL)
+    return out.select("region", "timestamp_utc", "temperature_c", "wind_direction_10m_deg", "weather_data_type")
+
+
+@query("w7_target_features", with_sql("hourly", "segments") + f"""
+SELECT region, timestamp_utc, {", ".join(f"lag(demand_mw, {k}) OVER s AS target_lag_{k}" for k in (1, 24))},
+  {_roll_sql(3).replace("demand_rolling", "target_rolling")}, {_roll_sql(24).replace("demand_rolling", "target_rolling")}
+FROM segs WINDOW s AS (PARTITION BY region, seg ORDER BY timestamp_utc)""")
+def w7(spark, d):
+    """Lags and rolling statistics of the target models."""
+    spec = features.FeatureSpec("target", lags=(1, 24), windows=(3, 24))
+    out = features.training_matrix(a.hourly_by_type(spark, d), spec, SMALL).select("region", "timestamp_utc", *spec.history_names)
+    return out.select(*[_r(c, 5) if "mean" in c or "std" in c else F.col(c) for c in out.columns])
+
+
+@query("f4_target_frame", with_sql("hourly", "renewables") + """
+SELECT region, timestamp_utc, demand_mw, total_renewable_generation_mw, round(demand_mw - total_renewable_generation_mw + 1e-9, 6) AS net_load_mw
+FROM hourly JOIN renewables USING (region, timestamp_utc) WHERE total_renewable_generation_mw IS NOT NULL
+  AND timestamp_utc BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'""")
+def f4(spark, d):
+    """Rows of one target in an inclusive range (also P20)."""
+    rows = joins.target_frame("net_load_mw", a.hourly_by_type(spark, d), a.renewable_actuals(spark, d), start="2024-01-10", end="2024-01-20")
+    return rows.withColumn("net_load_mw", F.round(F.col("net_load_mw") + 1e-9, 6))

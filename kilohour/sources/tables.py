@@ -206,5 +206,13 @@ def json_records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*out), options).alias("record"))
 
 
+def export_artifacts(path: str, *, frames: Mapping[str, DataFrame], tables_csv: Mapping[str, DataFrame] | None = None) -> None:
+    """Result frames as Parquet and metric tables as CSV under one folder."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, df in (tables_csv or {}).items():
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
 def read_leaderboard(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
