@@ -123,7 +123,7 @@ def recursive_forecast(
 
     The state is one row per region: the last ``required_history`` values, the predictions so far
     and, for weather-aware models, the weather of the coming steps. All of it is bounded by the
-    feature contract and the horizon. Lineage is cut with a reliable checkpoint every few steps.
+    feature contract and the horizon. Lineage is cut with a stored table every few steps.
     """
     spec, features = model.spec, model.features
     known = history.where(F.col(spec.value).isNotNull())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,17 +41,23 @@ def local_session(cores: int | str = 8, app: str = "kilohour", **conf: str) -> S
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+    """The frame as a table written to the folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is made only in local mode, where no cluster names one.
+    Readers start from the stored rows, so lost executors cost no recomputation; writing uses the
+    usual adaptive execution. A folder of our own is made only in local mode, where no cluster
+    names one.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="kilohour-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{_shared_folder(spark).rstrip('/')}/kilohour-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="kilohour-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
