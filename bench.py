@@ -28,7 +28,7 @@ def timed(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     spark = local_session(cores, "bench", **{"spark.ui.showConsoleProgress": "false"})
     seconds: dict[str, float] = {}
     for name in HEADLINE:
