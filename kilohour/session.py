@@ -48,12 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     names one.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/kilohour-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/kilohour-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one in local mode where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
