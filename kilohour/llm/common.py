@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.session import cut_lineage
+from kilohour.session import cut_lineage, shared_folder
 
 # White space as the contracts count it, U+0020 and U+0009 to U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -24,6 +25,11 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def shared_name(spark: SparkSession, what: str) -> str:
+    """A folder of its own inside the shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` once nothing reads it any more."""
     files = df.inputFiles()

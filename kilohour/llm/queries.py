@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.llm import bpe, chat, line_dedup
-from kilohour.llm.common import table
+from kilohour.llm import bpe, chat, line_dedup, warc
+from kilohour.llm.common import shared_name, table
 from kilohour.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,22 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(probe), _CHAT), _CHAT)
 
 
+@query(
+    "op9_warc",
+    """
+    WITH facts AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+    ), best AS (SELECT payload_digest, max(page_id) AS top FROM facts WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, f.payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN top <> page_id THEN top END AS refers_to
+    FROM facts f LEFT JOIN best b ON f.payload_digest = b.payload_digest
+    """,
+)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"), shared_name(spark, "warc"))
+    return archive.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked against the tiktoken library and byte by byte in tests/llm."""
