@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.llm import bpe, chat, line_dedup, warc
-from kilohour.llm.common import shared_name, table
+from kilohour.llm import bpe, chat, line_dedup, toxicity, warc
+from kilohour.llm.common import held_out, shared_name, table
 from kilohour.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,15 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(probe), _CHAT), _CHAT)
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked for held-out accuracy and against a plain scorer in tests/llm."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 @query(
     "op9_warc",
     """
