@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.llm import bpe, chat, line_dedup, toxicity, warc
+from kilohour.llm import bpe, chat, langid, line_dedup, minhash, toxicity, warc
 from kilohour.llm.common import held_out, shared_name, table
 from kilohour.session import configure
 
@@ -82,6 +82,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(probe), _CHAT), _CHAT)
 
 
+@query("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked against all pairs by brute force in tests/llm."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked for held-out accuracy and against a plain scorer in tests/llm."""
@@ -91,6 +97,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked for held-out accuracy and against a plain Viterbi in tests/llm."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = langid.predict(docs, langid.fit(docs), ["doc_id"])
+    return labelled.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query(
     "op9_warc",
     """
