@@ -90,7 +90,8 @@ class CuckooFilter:
         for step in range(rounds):
             if not len(prints):
                 return self
-            for place in (at, self.other(prints, at)) if step == 0 else (at,):
+            for second in (False, True) if step == 0 else (False,):
+                place = self.other(prints, at) if second else at
                 order = np.argsort(place, kind="stable")
                 place, prints, at = place[order], prints[order], at[order]
                 begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
