@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.llm import bpe, chat, langid, line_dedup, minhash, toxicity, warc
+from kilohour.llm import bpe, chat, decontam, langid, line_dedup, minhash, toxicity, warc
 from kilohour.llm.common import held_out, shared_name, table
 from kilohour.session import configure
 
@@ -82,6 +82,37 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(probe), _CHAT), _CHAT)
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op4_decontamination",
+    f"""
+    WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    windows AS (
+        SELECT item_id, least(len(w), 13) AS n, list_slice(w, i, i + least(len(w), 13) - 1) AS gram
+        FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)
+    ), docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    places AS (
+        SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS gram
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+    ), hit AS (
+        SELECT doc_id, places.n, i, item_id FROM places JOIN windows ON places.n = windows.n AND places.gram = windows.gram
+    ), covered AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM hit)) GROUP BY doc_id
+    ), named AS (
+        SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+)
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 @query("op6_near_dedup")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked against all pairs by brute force in tests/llm."""
