@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.llm import bpe, chat, decontam, langid, line_dedup, minhash, toxicity, warc
+from kilohour.llm import bpe, chat, decontam, langid, line_dedup, merkle, minhash, toxicity, warc
 from kilohour.llm.common import held_out, shared_name, table
 from kilohour.session import configure
 
@@ -113,6 +113,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+@query("op5_fingerprint")
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked against a plain tree in tests/llm."""
+    return merkle.compare(table(spark, sf_dir, "documents"))
+
+
 @query("op6_near_dedup")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked against all pairs by brute force in tests/llm."""
