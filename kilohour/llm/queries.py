@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.llm import bpe, chat, decontam, langid, line_dedup, merkle, minhash, toxicity, warc
+from kilohour.llm import bpe, chat, decontam, langid, line_dedup, merkle, minhash, toxicity, warc, wrapper
 from kilohour.llm.common import held_out, shared_name, table
 from kilohour.session import configure
 
@@ -82,6 +82,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(probe), _CHAT), _CHAT)
 
 
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked against a plain reading of the article element in tests/llm."""
+    return wrapper.extract_pages(table(spark, sf_dir, "pages"))
+
+
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
