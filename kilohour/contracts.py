@@ -74,7 +74,7 @@ CANONICAL_COLUMNS = (
     "timestamp_utc", "region", "demand_mw", "forecast_demand_mw", "net_generation_mw", "total_interchange_mw",
     "ingestion_timestamp_utc",
 )
-MEASURES = CANONICAL_COLUMNS[2:6]
+MEASURES = ("demand_mw", "forecast_demand_mw", "net_generation_mw", "total_interchange_mw")
 TARGETS = (
     "demand_mw", "solar_generation_mw", "wind_generation_mw", "total_renewable_generation_mw", "net_load_mw",
 )
@@ -88,9 +88,10 @@ LOCATION_WEATHER_COLUMNS = (
     "ingestion_timestamp_utc", "data_source", "weather_data_type",
 )
 REGION_WEATHER_COLUMNS = (
-    "timestamp_utc", "region", "weather_data_type", *WEATHER_VALUES[:7], "wind_direction_sin",
-    "wind_direction_cos", *WEATHER_VALUES[7:], "temperature_min_c", "temperature_max_c", "temperature_spread_c",
-    "wind_speed_spread_kph", "ingestion_timestamp_utc", "data_source",
+    "timestamp_utc", "region", "weather_data_type", "temperature_c", "apparent_temperature_c", "relative_humidity_pct",
+    "precipitation_mm", "cloud_cover_pct", "wind_speed_10m_kph", "wind_direction_10m_deg", "wind_direction_sin",
+    "wind_direction_cos", "shortwave_radiation_wm2", "direct_radiation_wm2", "diffuse_radiation_wm2", "temperature_min_c",
+    "temperature_max_c", "temperature_spread_c", "wind_speed_spread_kph", "ingestion_timestamp_utc", "data_source",
 )
 RENEWABLE_COLUMNS = (
     "timestamp_utc", "region", "solar_generation_mw", "wind_generation_mw", "total_renewable_generation_mw",

@@ -18,7 +18,6 @@ from kilohour.series import SeriesSpec
 from kilohour.session import cut_lineage
 
 DETECTOR = "isolation_forest"
-SAMPLE = 256
 RESOLUTION = 1 << 30
 # Quantiles of the score report.
 DISTRIBUTION = {"min": 0.0, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99, "max": 1.0}
@@ -28,6 +27,8 @@ _TREE = "region string, tree int, feature array<int>, threshold array<double>, c
 
 @dataclass(frozen=True)
 class ForestSettings:
+    """``max_samples`` rows at most grow a tree, as the method defines; all rows are scored."""
+
     contamination: float = 0.01
     seed: int = 42
     min_training_rows: int = 336
@@ -35,6 +36,7 @@ class ForestSettings:
     score_quantile: float = 0.995
     extreme_quantile: float = 0.9995
     maximum_rate: float = 0.10
+    max_samples: int = 256
     slice_rows: int = 65_536
 
 
@@ -53,7 +55,7 @@ class Forest:
 def fit_forest(history: DataFrame, features: Sequence[str], settings: ForestSettings | None = None) -> Forest:
     """Scaler, trees and thresholds per region from complete rows.
 
-    A tree sees at most 256 rows. Rows are chosen by a hash per (row, tree): one narrow pass keeps
+    A tree sees at most ``max_samples`` rows. Rows are chosen by a hash per (row, tree): one narrow pass keeps
     about twice the sample of each tree, so the groups handed to Python are small whatever the
     region's size, and the choice does not depend on partitioning.
     """
@@ -71,15 +73,15 @@ def fit_forest(history: DataFrame, features: Sequence[str], settings: ForestSett
         raise InsufficientHistory(f"{short[0]['region']}: {short[0]['training_rows']} training rows")
     scaled = _scaled(clean, reference, names)
     draw = lambda t: F.pmod(F.xxhash64("region", "timestamp_utc", t, F.lit(s.seed)), F.lit(RESOLUTION))
-    share = F.least(F.lit(2.0 * SAMPLE) / F.col("training_rows"), F.lit(1.0)) * RESOLUTION
+    share = F.least(F.lit(2.0 * s.max_samples) / F.col("training_rows"), F.lit(1.0)) * RESOLUTION
     wanted = F.filter(F.sequence(F.lit(0), F.lit(s.trees - 1)), lambda t: draw(t) < share)
     sampled = scaled.withColumn("tree", F.explode(wanted)).select(
         "region", "tree", draw(F.col("tree")).alias("draw"), "timestamp_utc", "_x"
     )
-    seed = s.seed
+    seed, most = s.seed, s.max_samples
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        chosen = rows.sort_values(["draw", "timestamp_utc"]).head(SAMPLE)
+        chosen = rows.sort_values(["draw", "timestamp_utc"]).head(most)
         x = np.array(chosen["_x"].tolist(), dtype=float)
         state = np.random.default_rng([seed, int(key[1]), *key[0].encode("utf-8")])
         tree = _grow_tree(x, state)

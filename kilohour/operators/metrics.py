@@ -117,10 +117,10 @@ def promotion_decisions(candidates: DataFrame, *, primary: str = "wape", referen
     usable = finite(F.col(primary)) & finite(F.col("forecast_bias"))
     passed = usable & F.coalesce(gain >= threshold, F.lit(False))
     reason = (
-        F.when(~usable, "candidate metrics or forecast bias are not finite")
-        .when(gain.isNull(), "reference baseline metric is not comparable")
-        .when(~passed, F.format_string(f"improvement %.6f is below threshold {threshold:.6f}", gain))
-        .otherwise(F.format_string("promotion gate passed with improvement %.6f", gain))
+        F.when(~usable, "a metric of the candidate is missing or infinite")
+        .when(gain.isNull(), "the baseline offers nothing to compare with")
+        .when(~passed, F.format_string(f"gain %.6f falls short of {threshold:.6f}", gain))
+        .otherwise(F.format_string("all gates passed, gain %.6f", gain))
     )
     return candidates.select(
         "model_name",

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +20,6 @@ from kilohour.operators.metrics import forecast_metrics
 from kilohour.series import HOURLY, SeriesSpec
 from kilohour.session import cut_lineage
 
-MANY_REGIONS = 1024
 CUT_EVERY = 3
 
 
@@ -36,6 +35,8 @@ class ModelSettings:
     depth: int = 7
     subsample: float = 1.0
     min_rows: int = 1
+    bins: int = 64
+    region_smoothing: float = 10.0
     seed: int = 42
 
 
@@ -51,7 +52,7 @@ class FittedModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         out = self.pipeline.transform(rows)
-        return out.drop("region_index", "_vector").withColumnRenamed("prediction", "_prediction")
+        return out.drop("region_index", "region_mean", "region_level", "_vector").withColumnRenamed("prediction", "_prediction")
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(path)
@@ -67,36 +68,38 @@ def fit_model(
 ) -> FittedModel:
     """One model over all regions from a feature matrix; ``validation`` marks rows for early stopping.
 
-    The region is a category while the trees can hold it as one; with very many regions it enters
-    as an ordered number, because the number of bins has to cover all categories.
+    The region enters as the smoothed mean of its target over the fitting rows, whatever the number of
+    regions, so the pipeline and its bins are the same at every size; an unseen region gets the overall mean.
     """
     s = settings or ModelSettings()
     names = features.names
     rows = matrix.select("region", spec.time, spec.value, *names).dropna()
-    regions = rows.select(F.count_distinct("region")).first()[0]
-    if not regions:
+    if rows.isEmpty():
         raise InsufficientHistory("no complete training rows")
     indexer = StringIndexer(inputCol="region", outputCol="region_index", handleInvalid="keep")
-    columns = ["region_index", *names]
+    encoder = TargetEncoder(
+        inputCols=["region_index"], outputCols=["region_mean"], labelCol=spec.value, targetType="continuous",
+        smoothing=s.region_smoothing, handleInvalid="keep",
+    )
+    # the encoder passes the region's category marks on; a sum is a plain number
+    number = SQLTransformer(statement="SELECT *, region_mean + 0.0D AS region_level FROM __THIS__")
+    columns = ["region_level", *names]
     assembler = VectorAssembler(inputCols=columns, outputCol="_vector")
     trees = GBTRegressor(
         featuresCol="_vector", labelCol=spec.value, lossType="absolute", maxIter=s.iterations, stepSize=s.step,
-        maxDepth=s.depth, subsamplingRate=s.subsample, minInstancesPerNode=s.min_rows, seed=s.seed,
-        maxBins=max(64, regions + 2) if regions <= MANY_REGIONS else 64,
+        maxDepth=s.depth, subsamplingRate=s.subsample, minInstancesPerNode=s.min_rows, seed=s.seed, maxBins=s.bins,
     )
+    learning = rows
     if validation is not None:
         rows = rows.withColumn("_validation", validation)  # from region, time, value or features
         trees = trees.setValidationIndicatorCol("_validation")
-    stages = [indexer, assembler, trees]
-    if regions > MANY_REGIONS:
-        from pyspark.ml.feature import SQLTransformer
-
-        plain = SQLTransformer(statement="SELECT *, region_index + 0.0 AS region_number FROM __THIS__")
-        assembler = VectorAssembler(inputCols=["region_number", *names], outputCol="_vector")
-        stages = [indexer, plain, assembler, trees]
+        learning = rows.where("not _validation")
     rows = rows.persist()  # boosting reads the training rows many times
     try:
-        fitted = Pipeline(stages=stages).fit(rows)
+        # regions are encoded from the rows that are learned from, never from validation rows
+        coded = indexer.fit(learning)
+        regional = encoder.fit(coded.transform(learning))
+        fitted = Pipeline(stages=[coded, regional, number, assembler, trees]).fit(rows)
     finally:
         rows.unpersist()
     return FittedModel(fitted, features, spec, s, tuple(columns))
@@ -267,28 +270,29 @@ def feature_importance(model: FittedModel) -> list[tuple[str, float]]:
     return sorted(zip(model.columns, map(float, weights)), key=lambda item: (-item[1], item[0]))
 
 
-def seeded_sample(rows: DataFrame, size: int, seed: int, keys: Sequence[str] = HOURLY.key) -> DataFrame:
-    """Exactly ``size`` rows (or all), the same for the same seed, numbered from 1."""
-    order = F.xxhash64(*keys, F.lit(seed))
-    picked = rows.orderBy(order, *keys).limit(size)
-    return picked.withColumn("_row", F.row_number().over(Window.orderBy(order, *keys)))
-
-
 def permutation_importance(
-    model: FittedModel, matrix: DataFrame, *, sample_size: int = 2000, seed: int = 42
+    model: FittedModel, matrix: DataFrame, *, sample_rows: int | None = None, seed: int = 42, bucket_rows: int = 100_000
 ) -> DataFrame:
-    """Rise of the mean absolute error when one feature is shuffled among the sampled rows.
+    """Rise of the mean absolute error when one feature is shuffled among the rows.
 
-    The sample is small by definition; all features are shuffled in one frame and scored together.
+    All rows are scored unless the caller asks for a sample. A row's partner is the next one in a seeded hash
+    order inside its hash bucket of about ``bucket_rows`` rows, so no task orders all rows; the last row of a
+    bucket takes the first one. All features are shuffled in one frame and scored together.
     """
     names, value = model.features.names, model.spec.value
     picked = matrix.select(*model.spec.key, value, *names).dropna()
-    sample = cut_lineage(seeded_sample(picked, sample_size, seed, model.spec.key))  # at most sample_size rows
-    shuffled = sample.withColumn("_to", F.row_number().over(Window.orderBy(F.xxhash64("_row", F.lit(seed)), "_row")))
-    partner = shuffled.select(F.col("_to").alias("_row"), F.struct(*names).alias("_other"))
+    order = F.xxhash64(*model.spec.key, F.lit(seed))
+    if sample_rows is not None:
+        picked = picked.orderBy(order, *model.spec.key).limit(sample_rows)
+    total = picked.count()
+    buckets = max(1, -(-total // bucket_rows))
+    rows = picked.withColumn("_row", order).withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+    inside = Window.partitionBy("_bucket").orderBy("_row", *model.spec.key)
+    other = F.coalesce(F.lead(F.struct(*names)).over(inside), F.first(F.struct(*names)).over(inside))
+    sample = cut_lineage(rows.withColumn("_other", other).drop("_bucket"))
     base = sample.select("_row", *names, "region", value)
     plain = base.withColumn("feature", F.lit(None).cast("string"))
-    mixed = base.join(partner, "_row").withColumn("feature", F.explode(F.array(*[F.lit(n) for n in names])))
+    mixed = sample.withColumn("feature", F.explode(F.array(*[F.lit(n) for n in names])))
     swapped = mixed.select(
         "_row", "region", value, "feature",
         *[F.when(F.col("feature") == n, F.col("_other")[n]).otherwise(F.col(n)).alias(n) for n in names],
@@ -296,7 +300,7 @@ def permutation_importance(
     scored = model.predict(plain.unionByName(swapped.select(*plain.columns)))
     errors = scored.groupBy("feature").agg(F.avg(F.abs(F.col("_prediction") - F.col(value))).alias("mae"))
     reference = errors.where("feature IS NULL").select(F.col("mae").alias("base_mae"))
-    rows = errors.where("feature IS NOT NULL").join(F.broadcast(reference), F.col("mae").isNotNull())  # one row
+    rows = errors.where("feature IS NOT NULL").crossJoin(F.broadcast(reference))  # one row
     return rows.select("feature", (F.col("mae") - F.col("base_mae")).alias("mae_increase")).orderBy(
         F.desc("mae_increase"), "feature"
     )
@@ -308,7 +312,7 @@ def local_contributions(
     """For a few rows: change of the prediction when a feature is set to its reference mean, largest first."""
     names = model.features.names
     means = reference.agg(F.struct(*[F.avg(n).alias(n) for n in names]).alias("_mean"))  # one row
-    base = rows.select(*model.spec.key, *names).join(F.broadcast(means), F.lit(True))
+    base = rows.select(*model.spec.key, *names).crossJoin(F.broadcast(means))
     kinds = F.array(F.lit(""), *[F.lit(n) for n in names])
     varied = base.withColumn("feature", F.explode(kinds)).select(
         *model.spec.key, "feature",

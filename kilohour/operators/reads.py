@@ -148,8 +148,8 @@ def calibration_warnings(summary: DataFrame, maximum_rate: float = 0.10) -> Data
         F.count(F.lit(1)).alias("groups"), F.count_if(F.col("hourly_opportunity_rate") > maximum_rate).alias("over")
     )
     text = (
-        F.when(F.col("groups") == 0, "No anomaly detections are available for calibration review.")
-        .when(F.col("over") > 0, "Daily anomaly rate exceeds the configured calibration maximum.")
+        F.when(F.col("groups") == 0, "There is no detection to judge the thresholds by.")
+        .when(F.col("over") > 0, "On some days more hours are flagged than the thresholds should allow.")
     )
     return state.select("groups", "over", text.alias("warning"))
 

@@ -179,6 +179,7 @@ def window_audit(
     per_entity = spoiled.groupBy("origin", name.alias("_name")).agg(
         F.sum(missing_history).alias("_h"), F.sum(missing_horizon).alias("_v")
     )
+    # The reasons are values of an output column.
     texts = F.array_compact(
         F.array(
             F.when(F.col("_h") > 0, F.format_string("%s:insufficient_contiguous_history:%d_missing_hours", "_name", "_h")),

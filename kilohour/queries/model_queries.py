@@ -75,7 +75,7 @@ def m16(spark, d):
     rows = _dense(spark, d)
     matrix = features.training_matrix(rows, SHORT)
     model = models.fit_model(matrix, SHORT, FAST)
-    return models.permutation_importance(model, matrix, sample_size=200)
+    return models.permutation_importance(model, matrix)
 
 
 def _forest_rows(spark, d):

@@ -108,7 +108,7 @@ def a27(spark, d):
 
 @query("a27_calibration_warnings", _EV + """,
 s AS (SELECT count(*) / 24.0 AS r FROM ev GROUP BY kind, severity, CAST(timestamp_utc AS DATE))
-SELECT count(*) AS groups, count(*) FILTER (r > 0.1) AS over, CASE WHEN count(*) FILTER (r > 0.1) > 0 THEN 'Daily anomaly rate exceeds the configured calibration maximum.' END AS warning FROM s""")
+SELECT count(*) AS groups, count(*) FILTER (r > 0.1) AS over, CASE WHEN count(*) FILTER (r > 0.1) > 0 THEN 'On some days more hours are flagged than the thresholds should allow.' END AS warning FROM s""")
 def a27_warnings(spark, d):
     return reads.calibration_warnings(reads.anomaly_summary(_demand_events(spark, d)))
 
