@@ -78,47 +78,49 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").repartition(TRAINING_PARTS, F.xxhash64("text"))
 
 
-def _counts(rows: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Documents per bucket and class: summed by Spark in blocks, so the driver gets one number a bucket and class."""
-    size = 1 << settings.bits
+def _features(rows: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Chosen buckets, their ratios, and the number of documents of either class.
+
+    Documents per bucket and class are counted by task and summed by block of buckets; each block's features are judged
+    where they are summed, so the driver gets ``max_features`` rows at most.
+    """
+    size, a = 1 << settings.bits, settings.smoothing
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.zeros((2, size), np.int32), np.zeros(2, np.int64)
-        for batch in sized_batches(batches, "text", 1 << 20):
+        for batch in sized_batches(batches, "text", 1 << 19):
             label = np.array(batch.column("toxic").to_pylist(), np.int64)
             number, bucket = _held(decoded(batch.column("text")), settings, None)
             seen += np.bincount(label, minlength=2)
             for c in (0, 1):
                 np.add.at(table[c], bucket[label[number] == c], 1)
-        blocks = table.reshape(2, BLOCKS, -1).transpose(1, 0, 2)
+        blocks = table.reshape(2, BLOCKS, -1)
         for k in range(BLOCKS):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([blocks[k].tobytes()]), pa.array([seen.tolist()])], ["block", "counts", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([blocks[:, k].tobytes()]), pa.array([seen.tolist()])], ["block", "counts", "seen"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in group["counts"])
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "counts": [total.astype(np.int64).tobytes()], "seen": [np.sum([list(s) for s in group["seen"]], axis=0)]})
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        clean, toxic = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in group["counts"]).reshape(2, -1)
+        n_clean, n_toxic = np.sum([list(s) for s in group["seen"]], axis=0)
+        ratio = np.log((toxic + a) / (n_toxic + 2 * a)) - np.log((clean + a) / (n_clean + 2 * a))
+        z = np.abs(ratio) / np.sqrt(1 / (toxic + a) + 1 / (clean + a))
+        at = np.flatnonzero(z > settings.least_z) if n_clean and n_toxic else np.zeros(0, np.int64)
+        return pd.DataFrame({"bucket": at + int(group["block"].iloc[0]) * (size // BLOCKS), "ratio": ratio[at], "z": z[at]})
 
-    made = rows.mapInArrow(count, "block long, counts binary, seen array<long>").groupBy("block")
-    parts = made.applyInPandas(add, "block long, counts binary, seen array<long>").orderBy("block").collect()
-    if not parts:
-        return np.zeros(size), np.zeros(size), 0, 0
-    table = np.stack([np.frombuffer(p["counts"], np.int64).reshape(2, -1) for p in parts])
-    return table[:, 1].ravel(), table[:, 0].ravel(), int(parts[0]["seen"][1]), int(parts[0]["seen"][0])
+    classes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    made = rows.mapInArrow(count, "block long, counts binary, seen array<long>").groupBy("block").applyInPandas(judge, "bucket long, ratio double, z double")
+    best = sorted((r["bucket"], r["ratio"]) for r in made.orderBy(F.desc("z"), "bucket").limit(settings.max_features).collect())
+    return np.array([b for b, _ in best], np.int64), np.array([r for _, r in best], np.float64), classes.get(1, 0), classes.get(0, 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Learn from the labelled rows that are not held out."""
     settings = settings or Settings()
     rows = stored(training_rows(docs, labels, settings))
-    toxic, clean, n_toxic, n_clean = _counts(rows, settings)
+    chosen, ratio, n_toxic, n_clean = _features(rows, settings)
     if not n_toxic or not n_clean:
         return Model(settings, np.zeros(0, np.int64), np.zeros(0, np.float32), None)
-    a = settings.smoothing
-    ratio = np.log((toxic + a) / (n_toxic + 2 * a)) - np.log((clean + a) / (n_clean + 2 * a))
-    z = np.abs(ratio) / np.sqrt(1 / (toxic + a) + 1 / (clean + a))
-    best = np.lexsort((np.arange(len(z)), -z))[: settings.max_features]
-    chosen = np.sort(best[z[best] > settings.least_z])
     if not len(chosen):
+        a = settings.smoothing
         return Model(settings, chosen, np.zeros(0, np.float32), float(np.log((n_toxic + a) / (n_clean + a))))
     flags = np.zeros(1 << settings.bits, bool)
     flags[chosen] = True
@@ -133,12 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
     counted = CountVectorizerModel.from_vocabulary([str(b) for b in chosen], "grams", "held")
     counted.setBinary(True).setMinTF(1.0)
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratio[chosen]), inputCol="held", outputCol="scaled")
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratio), inputCol="held", outputCol="scaled")
     vectors = scaled.transform(counted.transform(stored(rows.mapInArrow(features, "grams array<string>, toxic int"))))
     learner = LogisticRegression(featuresCol="scaled", labelCol="toxic", regParam=settings.penalty, standardization=False, maxIter=60)
     fitted = learner.fit(vectors.select("scaled", "toxic"))
     discard(rows)
-    return Model(settings, chosen, (fitted.coefficients.toArray() * ratio[chosen]).astype(np.float32), float(fitted.intercept))
+    return Model(settings, chosen, (fitted.coefficients.toArray() * ratio).astype(np.float32), float(fitted.intercept))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
