@@ -122,25 +122,29 @@ def apply_missing_demand_policy(wide: DataFrame, policy: str = "error") -> tuple
 
 
 def quality_report(wide: DataFrame, measures: Sequence[str] = MEASURES, spec: SeriesSpec = HOURLY) -> DataFrame:
-    """Counts, range, duplicates, missing and negative values and gap hours in one row."""
+    """Counts, range, duplicates, missing and negative values and gap hours in one row.
+
+    Rows whose entity or time is null are counted like all others; they are part of no series and open no gap.
+    """
     per_key = wide.groupBy(*spec.key).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"_m_{c}") for c in measures],
         *[F.count_if(F.col(c) < 0).alias(f"_g_{c}") for c in measures],
     )
-    linked = previous_times(per_key, spec)
+    gaps = previous_times(per_key.select(*spec.key), spec).agg(F.coalesce(F.sum(gap_steps(spec)), F.lit(0)).alias("timestamp_gap_count"))
     negatives = sum((F.col(f"_g_{c}") for c in measures), F.lit(0))
-    totals = linked.agg(
+    named = F.forall(F.array(*[F.col(c).isNotNull() for c in spec.entity]), lambda x: x)
+    totals = per_key.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.min(spec.time).alias("range_start"),
         F.max(spec.time).alias("range_end"),
         F.count_distinct(*spec.entity).alias("region_count"),
-        F.sort_array(F.collect_set(F.concat_ws("|", *spec.entity))).alias("regions"),
+        F.sort_array(F.collect_set(F.when(named, F.concat_ws("|", *spec.entity)))).alias("regions"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_count"),
         F.coalesce(F.sum(negatives), F.lit(0)).alias("negative_value_count"),
-        F.coalesce(F.sum(gap_steps(spec)), F.lit(0)).alias("timestamp_gap_count"),
         *[F.coalesce(F.sum(f"_m_{c}"), F.lit(0)).alias(f"missing_{c}") for c in measures],
     )
+    totals = side_by_side(totals, gaps)
     shares = {
         f"missing_pct_{c}": F.coalesce(F.try_divide(F.col(f"missing_{c}") * 100.0, F.col("row_count")), F.lit(0.0))
         for c in measures

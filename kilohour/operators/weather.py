@@ -71,9 +71,7 @@ def weather_report(location_rows: DataFrame, regional: DataFrame, spec: SeriesSp
         F.sort_array(F.collect_set("weather_data_type")).alias("weather_data_types"),
         *[F.sum(f"_m_{c}").alias(f"missing_{c}") for c in columns],
     )
-    linked = previous_times(regional, spec, ("weather_data_type",))
-    right = linked.agg(
-        F.count(F.lit(1)).alias("regional_rows"),
-        F.coalesce(F.sum(gap_steps(spec)), F.lit(0)).alias("timestamp_gap_count"),
-    )
-    return side_by_side(left, right)
+    # rows with a null key count, though they belong to no series
+    right = regional.agg(F.count(F.lit(1)).alias("regional_rows"))
+    linked = previous_times(regional.select(*spec.key, "weather_data_type"), spec, ("weather_data_type",))
+    return side_by_side(left, right, linked.agg(F.coalesce(F.sum(gap_steps(spec)), F.lit(0)).alias("timestamp_gap_count")))

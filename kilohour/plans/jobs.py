@@ -72,6 +72,7 @@ def ingest_weather(
 
 def revalidate(spark: SparkSession, table: str) -> DataFrame:
     """Stored table checked against its contract and reported anew."""
+    tables.check_table(spark, table)
     return clean.quality_report(contracts.canonical_grid().enforce(tables.read_table(spark, table)))
 
 

@@ -283,6 +283,26 @@ def a3(spark, d):
     return clean.quality_report(series, ("demand_mw", "net_generation_mw"), SMALL)
 
 
+@query("a3_quality_report_null_keys", with_sql("hourly") + """,
+q AS (SELECT CASE WHEN readings % 7 = 0 THEN NULL ELSE region END AS region, CASE WHEN readings % 5 = 0 THEN NULL ELSE timestamp_utc END AS timestamp_utc, demand_mw FROM hourly),
+g AS (SELECT greatest(date_diff('hour', lag(timestamp_utc) OVER (PARTITION BY region ORDER BY timestamp_utc), timestamp_utc) - 1, 0) AS gap
+  FROM (SELECT DISTINCT region, timestamp_utc FROM q WHERE region IS NOT NULL AND timestamp_utc IS NOT NULL))
+SELECT count(*) AS row_count, min(timestamp_utc) AS range_start, max(timestamp_utc) AS range_end, count(DISTINCT region) AS region_count,
+  list_sort(list(DISTINCT region) FILTER (region IS NOT NULL)) AS regions,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT region, timestamp_utc FROM q)) AS duplicate_count,
+  count(*) FILTER (demand_mw < 0) AS negative_value_count, (SELECT CAST(coalesce(sum(gap), 0) AS BIGINT) FROM g) AS timestamp_gap_count,
+  count(*) - count(demand_mw) AS missing_demand_mw, (count(*) - count(demand_mw)) * 100.0::DOUBLE / count(*) AS missing_pct_demand_mw,
+  (SELECT coalesce(sum(gap), 0) = 0 FROM g) AND count(*) = (SELECT count(*) FROM (SELECT DISTINCT region, timestamp_utc FROM q)) AS expected_hourly_frequency
+FROM q""")
+def a3_null_keys(spark, d):
+    """Rows without region or time are reported, not lost."""
+    series = a.hourly_by_type(spark, d).select(
+        F.when(F.col("readings") % 7 != 0, F.col("region")).alias("region"),
+        F.when(F.col("readings") % 5 != 0, F.col("timestamp_utc")).alias("timestamp_utc"), "demand_mw",
+    )
+    return clean.quality_report(series, ("demand_mw",), SMALL)
+
+
 @query("a4_reconciliation", with_sql("measurements", "mapped") + """,
 wide AS (SELECT region, timestamp_utc, max(v) FILTER (measure = 'demand_mw') AS demand_mw FROM mapped GROUP BY 1, 2),
 spine AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-02-01 23:00:00', INTERVAL 1 HOUR)) AS t),

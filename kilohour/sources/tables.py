@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,10 +45,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType = CANONICAL_SCHEMA, *, check: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType = CANONICAL_SCHEMA) -> DataFrame:
     """A table partitioned by region, year and month, in its fixed schema; absent means empty.
 
-    Rows whose time does not belong to their folder are an error.
+    Nothing is scanned here, so later filters still prune months and columns; ``check_table`` validates.
     """
     if not exists(spark, path):
         return empty_table(spark, schema)
@@ -56,13 +56,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType = CANONICAL_
         [*schema.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]
     )
     rows = spark.read.schema(full).option("pathGlobFilter", "*.parquet").parquet(path)
-    if check:
-        wrong = rows.where((F.year("timestamp_utc") != F.col("year")) | (F.month("timestamp_utc") != F.col("month")))
-        if not wrong.isEmpty():
-            raise StorageConflict(f"{path}: rows lie in a folder of another month")
     return rows.select(*[f.name for f in schema.fields])
 
 
+def check_table(spark: SparkSession, path: str, time: str = "timestamp_utc") -> None:
+    """Rows whose time does not belong to their folder are an error; reads the time and the folders only."""
+    if not exists(spark, path):
+        return
+    rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(path).select(time, "year", "month")
+    if not rows.where((F.year(time) != F.col("year")) | (F.month(time) != F.col("month"))).isEmpty():
+        raise StorageConflict(f"{path}: rows lie in a folder of another month")
+
+
 def merge_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], precedence: Sequence[str] = ()) -> DataFrame:
     """Keyed upsert: incoming rows replace existing ones; the batch itself is reduced to one row per key."""
     batch = keep_last(incoming.select(*existing.columns), list(keys), list(precedence))
@@ -85,25 +90,30 @@ def replace_runs(existing: DataFrame, incoming: DataFrame, run: str) -> DataFram
 def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], precedence: Sequence[str] = ()) -> int:
     """Merge a batch into a month-partitioned table; returns the rows of the touched months.
 
-    Only months the batch touches are read and rewritten. The merged months are first written
-    beside the table and compared with what was meant to be written; then dynamic partition
-    overwrite puts them in place. One writer at a time.
+    Only months the batch touches are read and rewritten: they are few, so their names go into the plan as literal
+    partition filters. The stored table's columns are kept: a batch with other columns is refused, because a column it
+    lacks would be lost in every month it touches. The merged months are written beside the table once, counted and
+    hashed on the way, compared with what can be read back, and then put in place by dynamic partition overwrite. One
+    writer at a time.
     """
-    schema = T.StructType([f for f in incoming.schema.fields if f.name not in ("year", "month")])
-    batch = with_partitions(incoming.select(*[f.name for f in schema.fields]))
-    touched = batch.select(*PARTITIONS).distinct()
+    names = [f.name for f in incoming.schema.fields if f.name not in ("year", "month")]
+    batch = with_partitions(incoming.select(*names))
     if exists(spark, path):
-        full = T.StructType([*schema.fields, *[f for f in batch.schema.fields if f.name in ("year", "month")]])
-        stored = spark.read.schema(full).option("pathGlobFilter", "*.parquet").parquet(path)
-        stored = stored.join(touched, list(PARTITIONS), "left_semi").select(*batch.columns)
+        stored = spark.read.option("pathGlobFilter", "*.parquet").option("mergeSchema", "true").parquet(path)
+        held = {f.name: f.dataType for f in stored.schema.fields}
+        given = {f.name: f.dataType for f in batch.schema.fields}
+        if held.keys() != given.keys():
+            raise StorageConflict(f"{path}: columns differ from the stored ones: {sorted(held.keys() ^ given.keys())}")
+        stored = months(stored, batch).select(*[F.col(n).cast(given[n]).alias(n) for n in batch.columns])
     else:
         stored = empty_table(spark, batch.schema)
     merged = merge_rows(stored, batch, keys, precedence)
     staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
+    seen = Observation()
     try:
-        _write_partitioned(merged, staging, PARTITIONS)
+        _write_partitioned(merged.observe(seen, *_digest_columns(merged)), staging, PARTITIONS)
         staged = spark.read.schema(merged.schema).parquet(staging)
-        wanted, written = _digest(merged), _digest(staged)
+        wanted, written = tuple(seen.get.values()), tuple(staged.agg(*_digest_columns(staged)).first())
         if wanted != written:
             raise StorageConflict(f"{path}: staged rows differ from the merged rows {wanted} != {written}")
         _write_partitioned(staged, path, PARTITIONS, dynamic=True)
@@ -112,15 +122,25 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequ
         _delete(spark, staging)
 
 
+def months(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows of the batch's months and regions; months are literals, so the scan lists only their folders."""
+    touched = [(r["year"], r["month"]) for r in batch.select("year", "month").distinct().collect()]  # a row per month
+    wanted = F.lit(False)
+    for year in sorted({y for y, _ in touched if y is not None}):
+        wanted = wanted | ((F.col("year") == year) & F.col("month").isin([m for y, m in touched if y == year]))
+    return stored.where(wanted).join(batch.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
+
+
 def _write_partitioned(df: DataFrame, path: str, partitions: Sequence[str], dynamic: bool = False) -> None:
-    writer = df.repartition(*partitions).sortWithinPartitions(*partitions).write.mode("overwrite")
+    # rebalancing splits a month that holds very many rows over several tasks and joins small ones
+    writer = df.hint("rebalance", *partitions).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy(*partitions).parquet(path)
 
 
-def _digest(df: DataFrame) -> tuple:
+def _digest_columns(df: DataFrame) -> list[Column]:
     names = sorted(df.columns)
     wide = F.sum(F.xxhash64(*[F.col(n) for n in names]).cast("decimal(38,0)"))
-    return tuple(df.agg(F.count(F.lit(1)), wide).first())
+    return [F.count(F.lit(1)).alias("rows"), wide.alias("hash")]
 
 
 def write_runs(df: DataFrame, path: str, run: str) -> None:

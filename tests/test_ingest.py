@@ -1,6 +1,7 @@
 """Pages, cleaning, contracts and stored tables."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,13 @@ def test_upsert_touches_only_its_months(spark, tmp_path, frame):
     assert before == after
     assert sorted(r["demand_mw"] for r in tables.read_table(spark, path).collect()) == [1.0, 5.0, 6.0]
     assert not list(tmp_path.glob("*staging*"))
+    # a batch without a stored column would empty it in the months it touches
+    with pytest.raises(StorageConflict, match="net_generation_mw"):
+        tables.upsert_table(spark, path, frame([row("2024-02-01 00:00:00", 5.0)], columns).drop("net_generation_mw"), contracts.GRID_KEY)
+    stored = spark.read.parquet(path)
+    plan = tables.months(stored, tables.with_partitions(frame([row("2024-02-01 00:00:00", 5.0)], columns)))._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[[^\]]*", plan)[0]
+    assert "2024" in filters and "month" in filters
 
 
 def test_read_rejects_rows_in_a_wrong_folder(spark, tmp_path, frame):
@@ -142,7 +150,7 @@ def test_read_rejects_rows_in_a_wrong_folder(spark, tmp_path, frame):
     columns = "timestamp_utc string, demand_mw double"
     frame([("2024-03-01 00:00:00", 1.0)], columns).write.parquet(str(path / "region=PJM" / "year=2024" / "month=1"))
     with pytest.raises(StorageConflict):
-        tables.read_table(spark, str(path))
+        tables.check_table(spark, str(path))
     assert tables.read_table(spark, str(tmp_path / "absent")).count() == 0
 
 
