@@ -42,7 +42,7 @@ KINDS_BY_TARGET = {
 def inject(
     rows: DataFrame, target: str, *, seed: int = 42, kinds: Sequence[str] = tuple(INJECTIONS), chunk_rows: int = 4096
 ) -> tuple[DataFrame, DataFrame]:
-    """Changed rows and labels. Positions are the rows with the smallest seeded hash.
+    """Changed rows and labels. Positions are the rows with the smallest SHA-256 of region, time and seed.
 
     At most one anomaly per kind is planted, so positions and effects are a handful of rows and the
     change is a join on row numbers.
@@ -59,7 +59,8 @@ def inject(
     if total < max(24, len(kinds) * MARGIN):
         raise InsufficientHistory("too few rows to keep planted anomalies apart")
     inside = numbered.where(F.col("_n").between(MARGIN + 1, total - MARGIN))
-    picked = inside.orderBy(F.xxhash64("region", "timestamp_utc", F.lit(seed))).limit(len(kinds))
+    chance = F.sha2(F.concat_ws("|", "region", F.unix_seconds("timestamp_utc").cast("string"), F.lit(str(seed))), 256)
+    picked = inside.orderBy(chance, "_n").limit(len(kinds))
     ranked = picked.withColumn("_k", F.row_number().over(Window.orderBy("_n")))
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("_k"))
     plan = F.create_map(*[x for k, (n, _) in INJECTIONS.items() for x in (F.lit(k), F.lit(n))])

@@ -218,13 +218,15 @@ def apply_realised(schedule: DataFrame, actuals: DataFrame, check: bool = True)
 
 def dispatch_ids(inputs: DataFrame, batteries: DataFrame, objective: str = "balanced", robust: bool = False) -> DataFrame:
     """Deterministic run id of every (battery, region, origin); one horizon of rows is hashed."""
+    # numbers are hashed as whole millionths, times as seconds: the same text from any engine
+    millionths = lambda c: F.coalesce(F.round(F.col(c) * 1e6).cast("long").cast("string"), F.lit("-"))
     values = ["demand_forecast_mw", "renewable_forecast_mw", "net_load_before_battery_mw", "energy_price"]
-    row = F.struct("timestamp_utc", *[F.round(c, 9).alias(c) for c in values])
+    row = F.struct(F.unix_seconds("timestamp_utc").alias("at"), F.concat_ws(",", *[millionths(c) for c in values]).alias("text"))
     packed = inputs.groupBy("region", "forecast_origin").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    spec = F.struct("battery_id", *BATTERY_NUMBERS)
-    material = F.to_json(
-        F.struct(spec.alias("battery"), "region", "forecast_origin", F.col("_rows").alias("values"),
-                 F.lit(objective).alias("objective"), F.lit(robust).alias("robust"))
+    rows = F.array_join(F.transform("_rows", lambda r: F.concat_ws(",", r["at"].cast("string"), r["text"])), ";")
+    material = F.concat_ws(
+        "|", "battery_id", *[millionths(c) for c in BATTERY_NUMBERS], "region", F.unix_seconds("forecast_origin").cast("string"), rows,
+        F.lit(objective), F.lit(str(robust).lower()),
     )
     return packed.join(batteries, "region").select(
         "region", "forecast_origin", "battery_id", F.substring(F.sha2(material, 256), 1, 32).alias("dispatch_run_id")

@@ -511,9 +511,18 @@ def a17(spark, d):
     return out.withColumn("recall", F.round("recall", 9)).withColumn("f1", F.round("f1", 9))
 
 
-@query("e6_injected_labels")
+@query("e6_injected_labels", with_sql("hourly") + """,
+n AS (SELECT *, row_number() OVER (ORDER BY region, timestamp_utc) AS n, count(*) OVER () AS total FROM hourly),
+p AS (SELECT * FROM n WHERE n BETWEEN 7 AND total - 6
+  ORDER BY sha256(region || '|' || CAST(CAST(epoch(timestamp_utc) AS BIGINT) AS VARCHAR) || '|42') LIMIT 6),
+k AS (SELECT *, row_number() OVER (ORDER BY n) AS k FROM p),
+f AS (SELECT *, ['single_hour_demand_spike', 'multi_hour_demand_drop', 'flatline_sensor', 'missing_hour_sequence', 'gradual_drift',
+    'contextual_unusual_hour'][k] AS kind, [1, 3, 4, 2, 5, 1][k] AS hours, [0.75, 0.6, 1.0, 1.0, 0.6, 0.9][k]::DOUBLE AS magnitude FROM k)
+SELECT 'injected-42-' || lpad(CAST(k - 1 AS VARCHAR), 3, '0') AS injection_id, f.region, 'demand_mw' AS target, kind AS anomaly_type,
+  f.timestamp_utc AS start_utc, n.timestamp_utc AS end_utc, magnitude, CASE WHEN magnitude >= 0.7 THEN 'critical' ELSE 'warning' END AS expected_severity,
+  true AS synthetic FROM f JOIN n ON n.n = f.n + f.hours - 1""")
 def e6(spark, d):
-    """Planted anomalies; positions come from a seeded hash, so there is no SQL form."""
+    """Planted anomalies at the positions of smallest hash."""
     rows = a.hourly_by_type(spark, d).drop("readings")
     return backtest.inject(rows, "demand_mw", kinds=backtest.DEFAULT_KINDS, chunk_rows=CHUNK)[1]
 

