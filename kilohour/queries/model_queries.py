@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kilohour.operators import features, forest, metrics, models, windows
 from kilohour.plans import adapters as a
 from kilohour.queries.registry import query
+from kilohour.session import cut_lineage
 
 SHORT = features.FeatureSpec("target", lags=(1, 24), windows=(3, 24))
 FAST = models.ModelSettings(iterations=3, depth=3, step=0.3)
@@ -110,3 +111,85 @@ def d4_calibration(spark, d):
     fitted = forest.fit_forest(rows.where("timestamp_utc < '2024-01-20'"), names, settings)
     later = rows.where("timestamp_utc >= '2024-01-20'")
     return forest.calibration(fitted, later, forest.score_forest(fitted, later, "demand_mw"))
+
+
+# -- what SQL can say about fitted models: keys, completeness, finiteness and a bound on the error
+
+_GROUPS_SQL = "WITH g AS (SELECT DISTINCT 'g' || CAST(user_id % 2 AS VARCHAR) AS region FROM events)\n"
+STEADY = models.ModelSettings(iterations=20, depth=5, step=0.2)
+
+
+def _forecast_rows(spark, d, horizon):
+    rows = _dense(spark, d)
+    origin = windows.select_windows(
+        rows, horizon=horizon, windows=1, step_size=24, required_history=features.FeatureSpec("target").required_history, require_all=False
+    ).agg(F.max("origin")).first()[0]
+    past = rows.where(F.col("timestamp_utc") <= F.lit(origin))
+    made = models.recursive_forecast(
+        models.fit_target_model(past, features.FeatureSpec("target"), STEADY), past, horizon=horizon, created_at=_now()
+    )
+    return made, rows
+
+
+@query("m9_forecast_contract", _GROUPS_SQL + """
+SELECT region, 24::BIGINT AS rows, 24::BIGINT AS distinct_steps, 1::BIGINT AS first_step, 24::BIGINT AS last_step, 24::BIGINT AS usable_rows,
+  1::BIGINT AS origins, true AS times_follow_steps, true AS error_within_twice_seasonal FROM g""")
+def m9_contract(spark, d):
+    """A day ahead with all lags: every step of every region, and an error not far above the seasonal naive one."""
+    made, rows = _forecast_rows(spark, d, 24)
+    value = F.col("predicted_value")
+    seen = rows.select("region", "timestamp_utc", "demand_mw")
+    before = rows.select("region", (F.col("timestamp_utc") + F.expr("INTERVAL 24 HOURS")).alias("timestamp_utc"), F.col("demand_mw").alias("seasonal"))
+    joined = made.join(seen, ["region", "timestamp_utc"], "left").join(before, ["region", "timestamp_utc"], "left")
+    follows = F.col("timestamp_utc") == F.timestamp_seconds(F.unix_seconds("forecast_origin") + F.col("forecast_step") * 3600)
+    return joined.groupBy("region").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("forecast_step").alias("distinct_steps"),
+        F.min("forecast_step").alias("first_step"), F.max("forecast_step").alias("last_step"),
+        F.count_if(~F.isnan(value) & (F.abs(value) < float("inf")) & (value >= 0)).alias("usable_rows"),
+        F.count_distinct("forecast_origin").alias("origins"), F.every(follows).alias("times_follow_steps"),
+        (F.avg(F.abs(value - F.col("demand_mw"))) <= 2 * F.avg(F.abs(F.col("seasonal") - F.col("demand_mw")))).alias("error_within_twice_seasonal"),
+    )
+
+
+@query("m7_fit_quality", _GROUPS_SQL + "SELECT region, true AS all_finite, true AS better_than_the_mean FROM g")
+def m7_quality(spark, d):
+    """Training predictions are finite and closer than the region's mean."""
+    rows = _dense(spark, d)
+    matrix = features.training_matrix(rows, SHORT)
+    out = cut_lineage(models.fit_model(matrix, SHORT, FAST).predict(matrix.dropna()).select("region", "demand_mw", "_prediction"))
+    mean = out.groupBy("region").agg(F.avg("demand_mw").alias("mean"))
+    value = F.col("_prediction")
+    return out.join(mean, "region").groupBy("region").agg(
+        F.every(~F.isnan(value) & (F.abs(value) < float("inf"))).alias("all_finite"),
+        (F.avg(F.abs(value - F.col("demand_mw"))) < F.avg(F.abs(F.col("mean") - F.col("demand_mw")))).alias("better_than_the_mean"),
+    )
+
+
+@query("m16_importance_contract", "SELECT 1::BIGINT AS rows_per_feature, true AS all_finite, true AS some_feature_matters")
+def m16_contract(spark, d):
+    """One finite value per feature of the contract, over all rows."""
+    rows = _dense(spark, d)
+    matrix = features.training_matrix(rows, SHORT)
+    gains = models.permutation_importance(models.fit_model(matrix, SHORT, FAST), matrix)
+    return gains.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.max("mae_increase").alias("gain")).agg(
+        (F.sum("n") / F.lit(len(SHORT.names))).cast("long").alias("rows_per_feature"),
+        F.every(~F.isnan("gain")).alias("all_finite"), (F.max("gain") > 0).alias("some_feature_matters"),
+    )
+
+
+@query("d4_planted_outliers", a.with_sql("hourly", "regional_weather") + """,
+f AS (SELECT h.region, h.timestamp_utc, row_number() OVER (PARTITION BY h.region ORDER BY h.timestamp_utc DESC) AS k
+  FROM hourly h JOIN regional_weather w ON w.region = h.region AND w.timestamp_utc = h.timestamp_utc
+  WHERE demand_mw IS NOT NULL AND temperature_c IS NOT NULL AND relative_humidity_pct IS NOT NULL AND wind_speed_10m_kph IS NOT NULL)
+SELECT region, timestamp_utc, true AS ranked_first FROM f WHERE k = 1""")
+def d4_planted(spark, d):
+    """The last complete hour of each region, made extreme, gets the region's highest isolation score."""
+    rows, names = _forest_rows(spark, d)
+    last = rows.dropna(subset=names).groupBy("region").agg(F.max("timestamp_utc").alias("_last"))
+    planted = rows.join(last, "region").withColumn("demand_mw", F.when(F.col("timestamp_utc") == F.col("_last"), F.col("demand_mw") * 50 + 1e6).otherwise(F.col("demand_mw")))
+    planted = planted.withColumn("temperature_c", F.when(F.col("timestamp_utc") == F.col("_last"), 500.0).otherwise(F.col("temperature_c")))
+    fitted = forest.fit_forest(rows.where("timestamp_utc < '2024-01-20'"), names, forest.ForestSettings(min_training_rows=50))
+    scored = forest.score_forest(fitted, planted.where("timestamp_utc >= '2024-01-20'").drop("_last"), "demand_mw")
+    best = scored.groupBy("region").agg(F.max("isolation_score").alias("top"))
+    late = scored.join(best, "region").join(last, "region").where(F.col("timestamp_utc") == F.col("_last"))
+    return late.select("region", "timestamp_utc", (F.col("isolation_score") == F.col("top")).alias("ranked_first"))
