@@ -346,6 +346,41 @@ def daily_orders(spark, d):
     )
 
 
+# Hourly series of every user: more than a thousand entities at the larger scales.
+_USERS_SQL = """WITH users AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS region, date_trunc('hour', ts) AS timestamp_utc,
+  CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS demand_mw FROM events GROUP BY 1, 2),
+m AS (SELECT *, lag(timestamp_utc) OVER w AS prev, CASE WHEN timestamp_utc - lag(timestamp_utc) OVER w = INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new
+  FROM users WINDOW w AS (PARTITION BY region ORDER BY timestamp_utc)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY region ORDER BY timestamp_utc) AS seg FROM m)
+"""
+
+
+def _users(spark, d):
+    key = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("region")
+    value = F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("demand_mw")
+    return a.events(spark, d).groupBy(key, F.date_trunc("HOUR", "ts").alias("timestamp_utc")).agg(value)
+
+
+@query("users_gap_hours", _USERS_SQL + """
+SELECT region, count(*) AS rows, CAST(sum(greatest(coalesce(date_diff('hour', prev, timestamp_utc), 1) - 1, 0)) AS BIGINT) AS gap_hours,
+  CAST(max(seg) AS BIGINT) AS segments FROM g GROUP BY 1""")
+def users_gaps(spark, d):
+    """Gap hours and segments of every user's series (W1, A25 with many entities)."""
+    rows = continuity.segment_rows(_users(spark, d), SMALL)
+    linked = continuity.previous_times(rows, SMALL)
+    return linked.groupBy("region").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(continuity.gap_steps(SMALL)).alias("gap_hours"), F.max("segment_no").alias("segments")
+    )
+
+
+@query("users_segment_lags", _USERS_SQL + """
+SELECT region, timestamp_utc, demand_mw, lag(demand_mw, 1) OVER s AS demand_lag_1, lag(demand_mw, 3) OVER s AS demand_lag_3
+FROM g WINDOW s AS (PARTITION BY region, seg ORDER BY timestamp_utc)""")
+def users_lags(spark, d):
+    """Lags inside segments for every user (W3 with many entities)."""
+    return features.past_features(_users(spark, d), [("demand_mw", "demand")], lags=[1, 3], windows=[], spec=SMALL)
+
+
 _WEATHER_SEGMENTS = with_sql("hourly", "regional_weather") + "," + a.SQL["segments"].replace("FROM hourly", "FROM regional_weather")
 
 
