@@ -14,6 +14,7 @@ from kilohour.functions.scoring import severity_of_rank, severity_rank
 from kilohour.functions.text import alert_id, alert_title, short_sha
 from kilohour.functions.time import iso_z
 from kilohour.operators.events import one_per_id
+from kilohour.session import cut_lineage
 
 KEY = ["region", "target", "anomaly_type"]
 # Status changes the user interface offers; the lifecycle itself accepts any.
@@ -79,12 +80,13 @@ def process_events(
         gap = F.unix_micros(cur("_at")) - F.unix_micros(prev("_at"))
         return (cur("_kind") == 0) | (gap > window_us)
 
-    linked = walk(
+    # alerts, history and outcomes all read the linked events and their islands
+    linked = cut_lineage(walk(
         marked, keys=KEY, order=["_at", "_kind", "detector_name", "anomaly_id"],
         chunk=F.floor(F.unix_micros("_at") / F.lit(chunk_hours * 3_600_000_000)),
         carry=["explanation"], breaks=breaks, row="_n",
-    )
-    islands = _islands(linked, alerts)
+    ))
+    islands = cut_lineage(_islands(linked, alerts))
     changed = _changed_alerts(islands)
     steps = _steps(linked, islands)
     outcomes = steps.select("anomaly_id", "alert_id", F.col("_action").alias("outcome"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kilohour.functions.ordered import walk
 from kilohour.functions.scoring import finite, relative_improvement
+from kilohour.session import cut_lineage
 
 NAMES = ("mae", "rmse", "wape", "mase", "bias")
 ORDER = ("validation_window", "region", "timestamp_utc")
@@ -53,7 +54,8 @@ def forecast_metrics(
 
 
 def metric_slices(predictions: DataFrame, series: Sequence[str] = ("model_name",), **options) -> DataFrame:
-    """Overall, per-window, per-step and per-region metrics in one long table."""
+    """Overall, per-window, per-step and per-region metrics in one long table; the predictions are made once."""
+    predictions = cut_lineage(predictions)
     parts = []
     for name in (None, "validation_window", "forecast_step", "region"):
         out = forecast_metrics(predictions, [*series, *([name] if name else [])], **options)

@@ -8,6 +8,7 @@ from kilohour.contracts import anomaly_events
 from kilohour.functions import scoring, text
 from kilohour.functions.ordered import exact_quantiles, walk
 from kilohour.operators import alerts, backtest, ensemble, residuals
+from kilohour.operators.events import event, to_events, union_events
 from kilohour.operators.rules import RuleSettings, Rules
 from kilohour.plans import adapters as a
 from kilohour.plans.adapters import with_sql
@@ -360,6 +361,48 @@ def e1(spark, d):
     return _brief(ensemble.combine(_demand_events(spark, d), _now())).drop("anomaly_id")
 
 
+# Events of three detectors on the same hours: the rules, a residual detector and a forest, the latter two by reading counts.
+_DETECTORS_SQL = """,
+ev3 AS (SELECT region, timestamp_utc, 'rules' AS detector, kind, score, severity FROM ev
+  UNION ALL SELECT region, timestamp_utc, 'residual', 'forecast_residual', 20.0::DOUBLE + readings % 75,
+    CASE WHEN readings % 5 = 0 THEN 'critical' WHEN readings % 5 < 3 THEN 'warning' ELSE 'info' END FROM hourly WHERE readings % 2 = 0
+  UNION ALL SELECT region, timestamp_utc, 'isolation_forest', 'multivariate_outlier', (readings * 7 % 100)::DOUBLE,
+    CASE WHEN readings * 7 % 100 >= 70 THEN 'critical' WHEN readings * 7 % 100 >= 30 THEN 'warning' ELSE 'info' END FROM hourly WHERE readings % 3 = 0),
+g AS (SELECT region, timestamp_utc, count(*) AS n, max(score) AS top, count(DISTINCT detector) AS k, count(*) FILTER (severity <> 'info') AS votes,
+    bool_or(detector <> 'isolation_forest' AND severity = 'critical') AS crit, bool_and(detector = 'isolation_forest') AS alone,
+    list(kind ORDER BY CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END DESC, score DESC, detector DESC, kind DESC)[1] AS kind
+  FROM ev3 GROUP BY 1, 2),
+s AS (SELECT *, least(top / 100, 1) * 45 + 2.5::DOUBLE + 20.0::DOUBLE * least(k / 3.0::DOUBLE, 1) + 20.0::DOUBLE / 3 + 1 AS sc FROM g),
+b AS (SELECT *, CASE WHEN crit OR sc >= 70 THEN 'critical' WHEN sc >= 30 THEN 'warning' ELSE 'info' END AS sev FROM s),
+l AS (SELECT *, votes >= 2 AND sev = 'info' AS lifted FROM b)
+"""
+
+
+def _three_detectors(spark, d):
+    rows = a.hourly_by_type(spark, d)
+    n = F.col("readings")
+    level = F.when(n % 5 == 0, "critical").when(n % 5 < 3, "warning").otherwise("info")
+    missed = event(kind="forecast_residual", score=F.lit(20.0) + n % 75, severity=level, explanation="missed")
+    far = (n * 7 % 100).cast("double")
+    odd = event(kind="multivariate_outlier", score=far, severity=scoring.severity_band(far), explanation="odd")
+    common = dict(target="demand_mw", detected_at=_now())
+    return union_events(
+        _demand_events(spark, d),
+        to_events(rows.where(n % 2 == 0), F.array(missed), detector="residual", **common),
+        to_events(rows.where(n % 3 == 0), F.array(odd), detector="isolation_forest", **common),
+    )
+
+
+@query("e1_ensemble_detectors", with_sql("hourly", "regional_weather", "renewables") + _RULE_PARTS + _DETECTORS_SQL + """
+SELECT region, timestamp_utc, kind AS anomaly_type,
+  round(CASE WHEN alone THEN least(CASE WHEN lifted THEN greatest(sc, 30) ELSE sc END, CASE WHEN top >= 50 THEN 69 ELSE 29 END)
+    WHEN lifted THEN greatest(sc, 30) ELSE sc END, 6) AS anomaly_score,
+  CASE WHEN alone THEN CASE WHEN top >= 50 THEN 'warning' ELSE 'info' END WHEN lifted THEN 'warning' ELSE sev END AS severity FROM l""")
+def e1_detectors(spark, d):
+    """Agreement of detectors, the critical override of rules and residuals, and the cap of a lone forest."""
+    return _brief(ensemble.combine(_three_detectors(spark, d), _now())).drop("anomaly_id")
+
+
 def _change_events(spark, d):
     rules = _rules()
     events = rules.row_rules(rules.linked_rows(rules.unique_rows(a.hourly_by_type(spark, d))))
@@ -389,6 +432,16 @@ def e3(spark, d):
     )
 
 
+@query("e3_alert_escalation", _ALERTS_SQL.replace("SELECT * FROM evid WHERE kind IN", "SELECT * REPLACE (['info', 'warning', 'critical'][hour(timestamp_utc) % 3 + 1] AS severity) FROM evid WHERE kind IN").replace("max(severity) AS severity FROM isl", "['info', 'warning', 'critical'][max(CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END)] AS severity FROM isl") + """
+SELECT region, anomaly_type, severity, first_seen_utc, last_seen_utc, occurrence_count,
+  upper(severity[1]) || severity[2:] || ' ' || replace(anomaly_type, '_', ' ') || ' in ' || region AS title FROM al""")
+def e3_escalation(spark, d):
+    """Alerts take the highest severity of their events, from info over warning to critical."""
+    level = F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("critical")), (F.hour("timestamp_utc") % 3 + 1).cast("int"))
+    batch = alerts.process_events(_change_events(spark, d).withColumn("severity", level), chunk_hours=48)
+    return batch.alerts.select("region", "anomaly_type", "severity", "first_seen_utc", "last_seen_utc", "occurrence_count", "title")
+
+
 @query("e3_alert_second_batch", _ALERTS_SQL + """
 SELECT region, anomaly_type, first_seen_utc, last_seen_utc, occurrence_count, latest_anomaly_id FROM al
 WHERE last_seen_utc > TIMESTAMP '2024-01-15 12:00:00'""")
