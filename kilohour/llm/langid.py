@@ -120,7 +120,7 @@ def _sample(docs: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]:
     share = {r["lang"]: min(1.0, settings.max_per_language / r["count"]) for r in sizes}
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1_000_000)) / 1e6
     wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(s)) for lang, s in share.items()], F.lit(0.0)) if share else F.lit(0.0)
-    return known.where(draw < wanted).select("lang", "text"), languages
+    return known.where(draw < wanted).repartition(8, "doc_id").select("lang", "text"), languages
 
 
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
@@ -153,8 +153,7 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
         scripts = sum(np.frombuffer(s, np.int64) for s in group["scripts"])
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "grams": [grams.tobytes()], "scripts": [scripts.tobytes()]})
 
-    sample = stored(rows).repartition(8, F.xxhash64("text"))
-    made = sample.mapInArrow(count, "lang long, grams binary, scripts binary").groupBy("lang")
+    made = rows.mapInArrow(count, "lang long, grams binary, scripts binary").groupBy("lang")
     parts = {r["lang"]: r for r in made.applyInPandas(add, "lang long, grams binary, scripts binary").collect()} if languages else {}
     if not parts:
         return Model(settings, (), np.zeros((size, 0), np.float32), np.zeros((len(NAMES), 0), bool))

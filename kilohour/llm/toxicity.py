@@ -75,7 +75,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_labelled)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").repartition(TRAINING_PARTS, F.xxhash64("text"))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").repartition(TRAINING_PARTS, "doc_id").select("text", "toxic")
 
 
 def _features(rows: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray, int, int]:
