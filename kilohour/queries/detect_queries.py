@@ -338,14 +338,14 @@ def x9(spark, d):
 
 @query("x19_alert_text", """
 SELECT event_id, upper(substring(event_type, 1, 1)) || substring(event_type, 2) || ' user lane ' || CAST(user_id % 9 AS VARCHAR) || ' in ' || event_type AS title,
-  printf('%.1f%%', round(value, 1)) AS pct FROM events WHERE round(value * 10) = value * 10""")
+  printf('%.1f%%', CAST(round(CAST(value AS DECIMAL(18, 2)), 1) AS DOUBLE)) AS pct FROM events""")
 def x19(spark, d):
     """Title and percent text."""
-    rows = a.events(spark, d).where(F.round(F.col("value") * 10) == F.col("value") * 10)
+    rows = a.events(spark, d)
     kind = F.concat(F.lit("user_lane_"), (F.col("user_id") % 9).cast("string"))
     return rows.select(
         "event_id", text.alert_title(F.col("event_type"), kind, F.col("event_type")).alias("title"),
-        text.percent_text(F.round("value", 1) / 100.0).alias("pct"),
+        text.percent_text(F.round(F.col("value").cast("decimal(18,2)"), 1).cast("double") / 100.0).alias("pct"),
     )
 
 

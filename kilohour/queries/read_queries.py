@@ -33,7 +33,7 @@ def o2_info(spark, d):
 
 
 _COMPLETE = f""",
-n AS (SELECT *, row_number() OVER (PARTITION BY {_SERIES} ORDER BY timestamp_utc) AS n FROM forecasts WHERE forecast_step <= 24),
+n AS (SELECT *, row_number() OVER (PARTITION BY {_SERIES} ORDER BY timestamp_utc) AS n FROM forecasts),
 ok AS (SELECT {_SERIES} FROM n WHERE n <= 12 GROUP BY ALL HAVING count(*) = 12 AND bool_and(timestamp_utc = forecast_origin + n * INTERVAL 1 HOUR)),
 best AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY region, target ORDER BY forecast_origin DESC, model_name DESC) = 1)
 """
@@ -44,8 +44,7 @@ SELECT n.region, n.target, n.forecast_origin, n.timestamp_utc, n.predicted_value
   ON n.region = b.region AND n.target = b.target AND n.forecast_origin = b.forecast_origin AND n.model_name = b.model_name WHERE n.n <= 12""")
 def o5(spark, d):
     """Newest complete horizon of every region; gapped newer ones are skipped."""
-    rows = a.forecasts(spark, d).where("forecast_step <= 24")
-    out = reads.latest_horizons(rows, 12)
+    out = reads.latest_horizons(a.forecasts(spark, d), 12)
     return out.select("region", "target", "forecast_origin", "timestamp_utc", "predicted_value", "model_name")
 
 

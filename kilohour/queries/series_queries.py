@@ -136,7 +136,7 @@ _C2 = dict(horizon=12, windows=4, step_size=12, required_history=24)
 
 
 @query("c2_select_windows", """
-WITH RECURSIVE total AS (SELECT 'g' || user_id % 2 AS region, date_trunc('hour', ts) AS t FROM events WHERE event_type <> 'click' GROUP BY 1, 2),
+WITH RECURSIVE total AS (SELECT 'g' || user_id % 2 AS region, date_trunc('hour', ts) AS t FROM events GROUP BY 1, 2),
 runs AS (SELECT region, t, count(*) OVER (PARTITION BY region ORDER BY t RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW) AS hist,
   count(*) OVER (PARTITION BY region ORDER BY t RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND INTERVAL 12 HOUR FOLLOWING) AS fut FROM total),
 ok AS (SELECT t FROM runs WHERE hist = 24 AND fut = 12 GROUP BY t HAVING count(*) = (SELECT count(DISTINCT region) FROM total)),
@@ -147,7 +147,7 @@ SELECT CAST((SELECT count(*) FROM picks WHERE o IS NOT NULL) + 1 - i AS BIGINT)
 def c2(spark, d):
     """Backward greedy choice of rolling origins valid for all entities."""
     rows = (
-        a.events(spark, d).where("event_type <> 'click'")
+        a.events(spark, d)
         .select(F.expr("concat('g', user_id % 2)").alias("region"), F.date_trunc("HOUR", "ts").alias("timestamp_utc")).distinct()
     )
     return windows.select_windows(rows, **_C2, spec=SMALL, require_all=False)
