@@ -8,8 +8,10 @@ band; documents that agree in a band meet in its bucket.
 2. In each bucket every member gets one edge, to the smallest member: as many edges as members, not all pairs.
 3. Edges are confirmed on full sets; confirmed links give components.
 4. Buckets whose members are still in several components are open: a link may hide between members that the star did
-   not join. There, and only there, pairs across components whose sizes allow the similarity are confirmed as well.
-   So no link that a bucket holds is lost, and members of one component are never paired again.
+   not join. Their members meet once more by prefixes: with shingles ordered from rare to common, two sets that are
+   similar enough share one of their first few shingles. Only pairs of different components that do, and whose sizes
+   and positions allow the similarity, are confirmed. This filter is exact, so no link that a bucket holds is lost, and
+   groups of loosely similar documents give few pairs instead of all.
 
 A pair of similarity 0.85 shares no bucket of 32 bands of 5 with probability (1 - 0.85^5)^32 = 7e-9.
 
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilohour.llm.common import discard, raw, sized_batches, stored
@@ -190,6 +192,45 @@ def confirmed(edges: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def across_components(members: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of members (node, label) with different labels that may be similar enough, by prefix filtering.
+
+    Shingles that one member alone holds come first in its order and match nothing, so only their number matters. The
+    shorter set of a pair is looked up by the prefix that suffices for sets not shorter than itself.
+    """
+    kind, percent = dict(members.dtypes)["node"], settings.percent
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.frombuffer(x, np.int64) for x in batch.column("items").to_pylist()]
+            for start in range(0, len(items), 256):
+                part = items[start : start + 256]
+                sizes = np.array([len(x) for x in part], np.int64)
+                rows = pa.array(np.repeat(np.arange(start, start + len(part)), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(rows) for c in ("node", "label", "part")), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(part))],
+                    ["node", "label", "part", "n", "token"],
+                )
+
+    whole = members.join(sets, "node").select("node", "label", F.xxhash64("items").alias("part"), "items")
+    tokens = stored(whole.mapInArrow(spread, f"node {kind}, label {kind}, part long, n long, token long"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("node", "part")
+    ranked = tokens.join(common, "token").withColumn("at", F.row_number().over(own.orderBy("df", "token")) - 1 + F.col("n") - F.count("*").over(own))
+    ceiling = lambda x, y: F.floor((x + (y - 1)) / y)
+    ranked = stored(ranked.where(F.col("at") <= F.col("n") - ceiling(percent * F.col("n"), 100)).select("token", "node", "label", "n", "at"))
+    short = ranked.where(F.col("at") <= F.col("n") - ceiling(2 * percent * F.col("n"), 100 + percent))
+    short = short.select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("i"))
+    long = ranked.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("j"))
+    need = ceiling(percent * (F.col("na") + F.col("nb")), 100 + percent)
+    shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    fits = shorter & (100 * F.col("na") >= percent * F.col("nb")) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= need)
+    pairs = stored(short.join(long, "token").where((F.col("la") != F.col("lb")) & fits).select("a", "b").distinct())
+    for done in (tokens, ranked):
+        discard(done)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest document it reaches) and kept, a row per row."""
     settings = settings or Settings()
@@ -206,17 +247,15 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     links = stored(confirmed(edges, sets, settings))
     labels = components(links)
 
-    placed = shared.select("bucket", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = shared.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    placed = stored(placed.join(open_.select("bucket"), "bucket", "left_semi"))
-    x = placed.select("bucket", F.col("node").alias("a"), F.col("n").alias("n"), F.col("label").alias("la"))
-    y = placed.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
-    across = x.join(y, "bucket").where((F.col("la") < F.col("lb")) & fits(F.col("n"), F.col("m"))).select("a", "b").distinct()
+    members = placed.join(open_.select("bucket"), "bucket", "left_semi").select("node", "label").distinct()
+    across = across_components(members, sets, settings)
     tested = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = stored(confirmed(across.join(tested, ["a", "b"], "left_anti"), sets, settings))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    for done in (shared, edges, sets, placed):
+    for done in (shared, edges, sets, across):
         discard(done)
     found = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     # a document with several texts is reached by the smallest of them
