@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilohour.llm.common import BLANKS, raw, sized_batches, stored
+from kilohour.llm.common import BLANKS, discard, raw, sized_batches, stored
 
 BUCKET = 4
 BUCKETS = 1 << 16
@@ -187,6 +187,8 @@ class LineIndex:
         # a false alarm is a new key like any other: its own fingerprint goes in, so that deletion stays exact
         unseen = fresh.select("key").unionByName(merged.where("_refs is null").select("key"))
         filters = stored(base._changed(unseen, "insert"))
+        for done in (new, probed, merged):
+            discard(done)
         return LineIndex(self.postings.unionByName(batch), counts, filters, base.shards, counts.count())
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
