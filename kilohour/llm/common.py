@@ -57,7 +57,7 @@ def decoded(column: pa.Array) -> list[str]:
     return [t.decode("utf-8", "replace") if t else "" for t in raw(column)]
 
 
-def sized_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sized_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches whose texts take about ``most`` bytes at most; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -88,7 +88,7 @@ def _features(rows: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.zeros((2, size), np.int32), np.zeros(2, np.int64)
-        for batch in sized_batches(batches, "text", 1 << 19):
+        for batch in sized_batches(batches, "text", 1 << 18):
             label = np.array(batch.column("toxic").to_pylist(), np.int64)
             number, bucket = _held(decoded(batch.column("text")), settings, None)
             seen += np.bincount(label, minlength=2)
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         chosen, weights = given.value
         flags = np.zeros(1 << settings.bits, bool)
         flags[chosen] = True
-        for batch in sized_batches(batches, text, 2 << 20):
+        for batch in sized_batches(batches, text, 1 << 20):
             if model.intercept is None:
                 scores = np.zeros(batch.num_rows)
             else:
