@@ -11,6 +11,7 @@ from kilohour.llm.common import discard, stored, table
 from kilohour.session import configure
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR = minhash.Settings(percent=80)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id in each group of near copies stays."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """The document of smallest id in each group of near copies (similarity 0.8 or more) stays."""
+    gone = minhash.near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct()
     return docs.select(COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(COLUMNS)
 
 

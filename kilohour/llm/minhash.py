@@ -13,7 +13,8 @@ band; documents that agree in a band meet in its bucket.
    and positions allow the similarity, are confirmed. This filter is exact, so no link that a bucket holds is lost, and
    groups of loosely similar documents give few pairs instead of all.
 
-A pair of similarity 0.85 shares no bucket of 32 bands of 5 with probability (1 - 0.85^5)^32 = 7e-9.
+A pair of similarity 0.85 shares no bucket of 32 bands of 5 with probability (1 - 0.85^5)^32 = 7e-9, one
+of 0.8 with 3e-6.
 
 Words are runs of anything but U+0020 and U+0009 to U+000D, A-Z in lower case. Defined results: fewer than five words are
 one shingle; without words a document has the empty set and is linked with nothing; rows without doc_id are linked with

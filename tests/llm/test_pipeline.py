@@ -3,6 +3,7 @@ import re
 import corpus_pipeline as P
 from kilohour.llm import bpe, decontam, line_dedup, minhash, toxicity
 from kilohour.llm.common import stored, table
+from test_minhash import corpus, shingles
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,6 +38,21 @@ def test_stages_on_an_empty_table_and_nulls(spark):
             assert out.count() == len(rows)
 
 
+def test_near_dedup_stage_against_all_pairs_at_four_fifths(spark):
+    words = [f"w{i}" for i in range(105)]
+    near = [*words[:30], "x", *words[31:70], "y", *words[71:]]  # 91 of 111 shingles
+    docs = list(enumerate([" ".join(words), " ".join(near), *corpus()]))
+    sets = {i: shingles(t) for i, t in docs}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], table(spark, SF, "documents").select(COLUMNS).schema)
+    got = {r["doc_id"] for r in P.drop_near_copies(spark, rows, SF).collect()}
+    assert 1 not in got and got == {i for i in sets if label[i] == i}
+
+
 def test_entry_lists_one_query_per_operator():
     import __spark_entry__
 
