@@ -6,10 +6,12 @@ only one side has become optional, repeats become groups, and texts that differ
 associative enough to be a tree: every task aligns the pages of a host that it reads, then salted groups of the tasks'
 wrappers are aligned, then one per host. So a host with a third of all pages costs each task one wrapper.
 
-The wrapper's slots are then judged once per host: slots inside the article region and outside navigation, notices,
-adverts, forms, comments and the like are its content. Where no wrapper element is named as the article, the region is
-the element whose own paragraphs hold the most text, and texts that are the same on all pages count as template. Pages are
-read by their host's content slots; the join of pages and wrappers is by host, and Spark splits a skewed host.
+The wrapper's slots are then judged once per host: slots inside article regions and outside navigation, notices,
+adverts, forms, comments and the like are its content. Class words and forms around an article or main element do not hide
+it. Regions named as the article go first, else the heaviest one is taken. Where a host
+has no region, it is the element whose own paragraphs hold the most text, and texts that are the same on all pages count as
+template. Pages are read by their host's content slots, pages to which these give nothing by their own wrapper; the join of
+pages and wrappers is by host, and Spark splits a skewed host.
 
 Text rules: character references are decoded, white space inside a block becomes one blank, blocks are trimmed and
 joined by a line feed. Defined results: null or empty html and pages without content give an empty text; a page without a
@@ -23,6 +25,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -48,6 +51,10 @@ ASIDE_WORDS = set(
     recommended recommendations trending popular sidebar sidebars widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager
     footer masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion feedback form search skip""".split()
 )
+# Words that mark blocks beside the main text, not its surroundings.
+COMMENT_WORDS = set("comment comments commentlist disqus respond reply replies discussion".split())
+BLOCK_WORDS = set("related recommended recommendations trending popular nav navbar navigation breadcrumb breadcrumbs pagination pager".split())
+NOT_ARTICLE = set("comment comments reply ad ads advert sponsored related".split())
 MAIN_WORDS = set("article post entry story content main maincontent articlebody postcontent entrycontent".split())
 DEEPEST = 64
 
@@ -259,7 +266,9 @@ def _parts(key: str) -> tuple[str, dict[str, str]]:
 
 
 def _words(values: dict[str, str]) -> set[str]:
-    return set(re.split(r"[^a-z]+", f"{values.get('class', '')} {values.get('id', '')}"))
+    """Words of class and id; a name such as has-sidebar says what is elsewhere."""
+    names = f"{values.get('class', '')} {values.get('id', '')}".split()
+    return {w for n in names if not re.match(r"(?:has|no|with|without)[-_]", n) for w in re.split(r"[^a-z]+", n)}
 
 
 def is_aside(key: str, in_region: bool) -> bool:
@@ -269,7 +278,7 @@ def is_aside(key: str, in_region: bool) -> bool:
         return False
     words = _words(values)
     return name in ASIDE or values.get("role") in ASIDE_ROLES or (name not in ("html", "body", "article", "main") and bool(words & ASIDE_WORDS)) or (
-        name == "article" and bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related"})
+        name == "article" and bool(words & NOT_ARTICLE)
     )
 
 
@@ -278,86 +287,149 @@ def is_region(key: str) -> bool:
     return name in ("article", "main") or values.get("role") in ("main", "article") or (name in ("div", "section", "td") and bool(_words(values) & MAIN_WORDS))
 
 
-def content_slots(wrapper: list, pages: int) -> list[str]:
-    """Paths of the text slots that are content: keys of the elements around a slot, joined by blanks."""
-    slots: list[tuple[tuple[str, ...], list]] = []
+def is_named(key: str) -> bool:
+    """Whether an element is named as the main text, by its tag or role."""
+    name, values = _parts(key)
+    return (name in ("article", "main") or values.get("role") in ("main", "article")) and name not in ASIDE and not _words(values) & NOT_ARTICLE
+
+
+def severity(key: str, in_region: bool, wide: bool) -> int:
+    """How strongly an element hides what is in it. 0: not, as words and forms of an element that holds most of the text are
+    its layout's; 1: a form, or words within longer names; 2: related or navigation words on most of the text; 3: a block."""
+    if not is_aside(key, in_region):
+        return 0
+    name, values = _parts(key)
+    words = _words(values)
+    if name in ASIDE - {"form"} or values.get("role") in ASIDE_ROLES - {"form"} or name == "article" or words & COMMENT_WORDS:
+        return 3
+    if words & BLOCK_WORDS:
+        return 2 if wide else 3
+    exact = set(f"{values.get('class', '')} {values.get('id', '')}".split())
+    return 0 if wide else 3 if exact & ASIDE_WORDS else 1
+
 
-    def walk(node: list, path: tuple[str, ...]) -> None:
+@lru_cache(1 << 16)
+def path_id(parent: str, key: str) -> str:
+    return hashlib.sha1(f"{parent} {key}".encode("utf-8", "replace")).hexdigest()[:20]
+
+
+NAMED, HEAVIEST, SURROUNDED, UNNAMED = range(4)
+
+
+def content_slots(wrapper: list, pages: int) -> list[str]:
+    """Rank, region and path of the text slots that are content; a page takes the first rank that gives it text.
+
+    NAMED: regions named as the article. HEAVIEST: regions by class or inside a form or the like, of which a page takes the
+    one that holds most. SURROUNDED: named ones inside related or navigation words that hold most of the text. UNNAMED: the
+    element whose own paragraphs hold the most text, if no region has any.
+    """
+    keys, parents, known = [""], [0], {}
+    slots: list[tuple[int, list]] = []
+    todo = [(wrapper, 0)]
+    while todo:
+        node, at = todo.pop()
         for child, _, _ in node[1]:
             if child[0] == "#":
-                slots.append((path, child))
+                slots.append((at, child))
             elif child[0] == "()":
-                walk(child, path)
+                todo.append((child, at))
             else:
-                walk(child, (*path, child[0]))
-
-    walk(wrapper, ())
-    outside = [(p, s) for p, s in slots if not any(is_aside(k, False) for k in p)]
-    regions: dict[tuple[str, ...], int] = {}
-    for path, slot in slots:
-        for k, key in enumerate(path):
-            # the outermost region that no aside surrounds
-            if is_region(key) and not is_aside(key, True) and not any(is_aside(x, False) for x in path[:k]):
-                regions[path[: k + 1]] = regions.get(path[: k + 1], 0) + slot[2]
-                break
-    if articles := [r for r in regions if _parts(r[-1])[0] in ("article", "main") or "role=" in r[-1]]:
-        regions = {r: regions[r] for r in articles}
-    elif regions:
-        top = max(regions.values())
-        regions = {r: n for r, n in regions.items() if n == top}
-    if regions:
-        kept = {p for p, _ in slots for r in regions if p[: len(r)] == r and not any(is_aside(k, True) for k in p[len(r) :])}
+                k = known.setdefault((at, child[0]), len(keys))
+                if k == len(keys):
+                    keys.append(child[0])
+                    parents.append(at)
+                todo.append((child, k))
+    letters = [0] * len(keys)
+    for at, slot in slots:
+        letters[at] += slot[2]
+    for k in range(len(keys) - 1, 0, -1):
+        letters[parents[k]] += letters[k]
+    ids, depth, hidden, region, rank = [""], [0], [0], [0], [UNNAMED]
+    named = False
+    for k in range(1, len(keys)):
+        p, key = parents[k], keys[k]
+        ids.append(path_id(ids[p], key))
+        depth.append(depth[p] + 1)
+        region.append(region[p])
+        rank.append(rank[p])
+        own = severity(key, bool(region[p]), 2 * letters[k] > letters[region[p]])
+        if not region[p]:
+            if is_named(key) and hidden[p] < 3:
+                rank[k] = (NAMED, HEAVIEST, SURROUNDED)[hidden[p]]
+                named = True
+            elif is_region(key) and not own and not is_aside(key, True) and not hidden[p]:
+                rank[k] = HEAVIEST
+            if rank[k] != UNNAMED:
+                region[k] = k
+        hidden.append(0 if region[k] == k else max(hidden[p], own))
+    if any(region[at] for at, _ in slots) or named and pages == 1:
+        kept = {at for at, _ in slots if region[at] and not hidden[at]}
     else:
-        own: dict[tuple[str, ...], int] = {}
-        for path, slot in outside:
-            parent = path[:-1] if path and _parts(path[-1])[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") else path
-            own[parent] = own.get(parent, 0) + slot[2]
-        region = max(own, key=lambda p: (own[p], -len(p)), default=())
-        template = {p for p, s in outside if pages > 1 and s[1] is not None and s[3] >= pages}
-        kept = {p for p, _ in outside if p[: len(region)] == region} - (template if len(template) < len(outside) else set())
-    return sorted(" ".join(x.replace(" ", "+") for x in p) for p in kept)
-
-
-def extract(page: str, slots: frozenset[str]) -> str:
+        outside = [(at, s) for at, s in slots if not hidden[at]] or [(at, s) for at, s in slots if hidden[at] < 2]
+        own_text: dict[int, int] = {}
+        for at, slot in outside:
+            parent = parents[at] if _parts(keys[at])[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") else at
+            own_text[parent] = own_text.get(parent, 0) + slot[2]
+        top = max(own_text, key=lambda k: (own_text[k], -depth[k]), default=0)
+        inside = [k == top for k in range(len(keys))]
+        for k in range(1, len(keys)):
+            inside[k] |= inside[parents[k]]
+        template = {at for at, s in outside if pages > 1 and s[1] is not None and s[3] >= pages}
+        kept = {at for at, _ in outside if inside[at]} - (template if len(template) < len(outside) else set())
+    first = min((rank[k] for k in kept), default=UNNAMED)
+    kept = {k for k in kept if rank[k] == first}
+    if first == HEAVIEST:
+        best = max((region[k] for k in kept), key=letters.__getitem__)
+        kept = {k for k in kept if region[k] == best}
+    return sorted(f"{rank[k]} {ids[region[k]] or '-'} {ids[k] or '-'}" for k in kept)
+
+
+def extract(page: str, slots: list[str]) -> str:
     """Blocks whose slot is content, in page order."""
-    path: list[str] = []
-    blocks: list[str] = []
+    places = {slot: (int(rank), region) for rank, region, slot in map(str.split, slots)}
+    path = [""]
+    blocks: list[tuple[tuple[int, str], str]] = []
     held: list[str] = []
-    keep = "" in slots
+    place = places.get("-")
 
     def flush() -> None:
         if held and (text := " ".join("".join(held).split())):
-            blocks.append(text)
+            blocks.append((place, text))
         held.clear()
 
     for kind, value in tokens(page):
         if kind == "text":
-            if keep:
+            if place:
                 held.append(value)
             continue
         flush()
         if kind == "open":
-            path.append(value.replace(" ", "+"))
+            path.append(path_id(path[-1], value))
         elif kind == "close":
             path.pop()
-        keep = " ".join(path) in slots
+        place = places.get(path[-1] or "-")
     flush()
-    return "\n".join(blocks)
+    first = min((rank for (rank, _), _ in blocks), default=NAMED)
+    sizes: dict[tuple[int, str], int] = {}
+    for where, text in blocks:
+        sizes[where] = sizes.get(where, 0) + len(text)
+    best = max((w for w in sizes if w[0] == first), key=sizes.__getitem__, default=None)
+    return "\n".join(text for where, text in blocks if where == best or where[0] == first != HEAVIEST)
 
 
-def page_text(page: str, slots: frozenset[str]) -> str:
-    """Text of a page by its host's slots; a page of a layout of its own, without any region, is read by its own wrapper."""
+def page_text(page: str, slots: list[str]) -> str:
+    """Text of a page by its host's slots; a page of a layout of its own, to which they give nothing, is read by its own wrapper."""
     text = extract(page, slots)
     if text or any(kind == "open" and is_region(value) for kind, value in tokens(page)):
         return text
-    return extract(page, frozenset(content_slots(tree(page), 1)))
+    return extract(page, content_slots(tree(page), 1))
 
 
 HOSTS_HELD = 2000
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, pages, wrapper (JSON) and slots (content paths) of every host."""
+    """host, pages, wrapper (JSON) and slots (see ``content_slots``) of every host."""
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -411,7 +483,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "html"):
-            texts = [page_text(p, frozenset(s)) for p, s in zip(decoded(batch.column("html")), batch.column("slots").to_pylist(), strict=True)]
+            texts = [page_text(p, s) for p, s in zip(decoded(batch.column("html")), batch.column("slots").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

@@ -43,3 +43,20 @@ def test_table_pages_against_a_plain_reading(spark):
         body = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.DOTALL)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<b>|<br>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def read(pages):
+    joint = None
+    for p in pages:
+        joint = wrapper.join(joint, wrapper.tree(p))
+    slots = wrapper.content_slots(joint, len(pages))
+    return [wrapper.page_text(p, slots) for p in pages]
+
+
+def test_words_and_forms_around_an_article_do_not_hide_it():
+    for before, after in (("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='has-sidebar'>", "</div>"), ("<div id='menu-page'>", "</div>"), ("<form>", "</form>")):
+        for name in ("article", "main", "div role=main"):
+            page = f"<body>{before}<nav>Home</nav><{name}><p>Text {{0}}</p><div class=share-bar>Share</div></{name.split()[0]}><aside>Side</aside>{after}<footer>f</footer></body>"
+            assert read([page.format(i) for i in range(3)]) == [f"Text {i}" for i in range(3)]
+    beside = "<main><p>Text {0} is long enough</p></main><div class='related-posts'><article>Other {0}</article></div><div class='sidebar-left'><article>Teaser {0}</article></div>"
+    assert read([beside.format(i) for i in range(3)]) == [f"Text {i} is long enough" for i in range(3)]
