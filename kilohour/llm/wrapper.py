@@ -8,7 +8,7 @@ wrappers are aligned, then one per host. So a host with a third of all pages cos
 
 The wrapper's slots are then judged once per host: slots inside article regions and outside navigation, notices,
 adverts, forms, comments and the like are its content. Class words and forms around an article or main element do not hide
-it. Regions named as the article go first, else the heaviest one is taken. Where a host
+it. Each page takes the regions of its own layout: those named as the article, else the heaviest one it has. Where a host
 has no region, it is the element whose own paragraphs hold the most text, and texts that are the same on all pages count as
 template. Pages are read by their host's content slots, pages to which these give nothing by their own wrapper; the join of
 pages and wrappers is by host, and Spark splits a skewed host.
@@ -376,11 +376,6 @@ def content_slots(wrapper: list, pages: int) -> list[str]:
             inside[k] |= inside[parents[k]]
         template = {at for at, s in outside if pages > 1 and s[1] is not None and s[3] >= pages}
         kept = {at for at, _ in outside if inside[at]} - (template if len(template) < len(outside) else set())
-    first = min((rank[k] for k in kept), default=UNNAMED)
-    kept = {k for k in kept if rank[k] == first}
-    if first == HEAVIEST:
-        best = max((region[k] for k in kept), key=letters.__getitem__)
-        kept = {k for k in kept if region[k] == best}
     return sorted(f"{rank[k]} {ids[region[k]] or '-'} {ids[k] or '-'}" for k in kept)
 
 
@@ -419,10 +414,7 @@ def extract(page: str, slots: list[str]) -> str:
 
 def page_text(page: str, slots: list[str]) -> str:
     """Text of a page by its host's slots; a page of a layout of its own, to which they give nothing, is read by its own wrapper."""
-    text = extract(page, slots)
-    if text or any(kind == "open" and is_region(value) for kind, value in tokens(page)):
-        return text
-    return extract(page, content_slots(tree(page), 1))
+    return extract(page, slots) or extract(page, content_slots(tree(page), 1))
 
 
 HOSTS_HELD = 2000

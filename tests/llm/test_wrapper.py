@@ -60,3 +60,11 @@ def test_words_and_forms_around_an_article_do_not_hide_it():
             assert read([page.format(i) for i in range(3)]) == [f"Text {i}" for i in range(3)]
     beside = "<main><p>Text {0} is long enough</p></main><div class='related-posts'><article>Other {0}</article></div><div class='sidebar-left'><article>Teaser {0}</article></div>"
     assert read([beside.format(i) for i in range(3)]) == [f"Text {i} is long enough" for i in range(3)]
+
+
+def test_each_page_is_read_by_the_regions_of_its_own_layout():
+    pages = ["<nav>n</nav><article><p>One {0}</p></article>", "<nav>n</nav><div class='post news'><p>Two {0} and more</p></div><div class=content>box</div>"]
+    pages += ["<nav>n</nav><div class='post sport'><p>Three {0} and more</p></div>", "<form><div class='entry'><p>Four {0}</p></div></form>", "<article class=comment>no</article><div><p>Five {0}</p></div>"]
+    got = read([p.format(i) for i in range(3) for p in pages])
+    assert got == [t.format(i) for i in range(3) for t in ("One {0}", "Two {0} and more", "Three {0} and more", "Four {0}", "Five {0}")]
+    assert read(["<article></article><div>Side</div>", "<article>x</article>"]) == ["", "x"]
