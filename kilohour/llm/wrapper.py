@@ -24,9 +24,12 @@ import hashlib
 import html
 import json
 import re
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,7 +59,8 @@ COMMENT_WORDS = set("comment comments commentlist disqus respond reply replies d
 BLOCK_WORDS = set("related recommended recommendations trending popular nav navbar navigation breadcrumb breadcrumbs pagination pager".split())
 NOT_ARTICLE = set("comment comments reply ad ads advert sponsored related".split())
 MAIN_WORDS = set("article post entry story content main maincontent articlebody postcontent entrycontent".split())
-DEEPEST = 64
+# Trees are as deep as pages nest; frames of Python functions lie on the heap, so only this number would stop their walks.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 30))
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>?|</[^>]*>?",
@@ -68,10 +72,12 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 def tokens(page: str) -> Iterator[tuple[str, str]]:
     """("open", key), ("close", name), ("break", "") and ("text", decoded text), tags made well-formed."""
     stack: list[str] = []
+    places: dict[str, list[int]] = {}  # where each name is open in the stack
     at = 0
 
     def shut(upto: int) -> Iterator[tuple[str, str]]:
         while len(stack) > upto:
+            places[stack[-1]].pop()
             yield "close", stack.pop()
 
     for m in _TOKEN.finditer(page):
@@ -88,21 +94,21 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         if name in VOID:
             yield ("text", " ") if name in ("br", "wbr") else ("break", "")
         elif m[2]:
-            if name in stack:
-                yield from shut(len(stack) - 1 - stack[::-1].index(name))
+            if places.get(name):
+                yield from shut(places[name][-1])
             else:
                 yield "break", ""
         else:
-            if "p" in stack:
-                yield from shut(len(stack) - 1 - stack[::-1].index("p"))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] in CLOSES.get(name, ()):
-                    yield from shut(k)
-                elif stack[k] in CLOSES_LIMIT:
-                    break
-            if len(stack) >= DEEPEST or name in ("html", "body") and name in stack:
+            if places.get("p"):
+                yield from shut(places["p"][-1])
+            if name in CLOSES:
+                limit = max(places[x][-1] if places.get(x) else -1 for x in CLOSES_LIMIT)
+                lowest = [places[x][k] for x in CLOSES[name] if x in places and (k := bisect_right(places[x], limit)) < len(places[x])]
+                yield from shut(min(lowest, default=len(stack)))
+            if name in ("html", "body") and places.get(name):
                 yield "break", ""
             else:
+                places.setdefault(name, []).append(len(stack))
                 stack.append(name)
                 yield "open", _key(name, m[4])
     if at < len(page):
@@ -215,20 +221,13 @@ def _grouped(items: list, other: list) -> list:
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Positions of a common subsequence: the longest one, or for very long sequences one found in a single pass."""
+    """Positions of a longest common subsequence; long sequences are halved where both halves' lengths add up to most."""
     if len(a) * len(b) > 1_000_000:
-        places: dict[str, list[int]] = {}
-        for j in range(len(b) - 1, -1, -1):
-            places.setdefault(b[j], []).append(j)
-        out, at = [], -1
-        for i, name in enumerate(a):
-            spots = places.get(name, [])
-            while spots and spots[-1] <= at:
-                spots.pop()
-            if spots:
-                at = spots.pop()
-                out.append((i, at))
-        return out
+        if len(a) == 1:
+            return [(0, b.index(a[0]))] if a[0] in b else []
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _common(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in _common(a[half:], b[cut:])]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -245,10 +244,59 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each beginning of ``b``: a row of the table is one number, whose
+    zero bits are the steps."""
+    at: dict[str, list[int]] = {}
+    for j, name in enumerate(b):
+        at.setdefault(name, []).append(j)
+    masks = {}  # of the frequent names, so that all masks together stay small
+    for name in at.keys() & set(a):
+        if len(at[name]) > 8:
+            bits = np.zeros(len(b), np.uint8)
+            bits[at[name]] = 1
+            masks[name] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    row = full = (1 << len(b)) - 1
+    for name in a:
+        if name in at:
+            met = row & (masks[name] if name in masks else sum(1 << j for j in at[name]))
+            row = ((row + met) | (row - met)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(b) + 7) // 8, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
 def join(a: list | None, b: list) -> list:
     return b if a is None else [a[0], aligned(a[1], b[1])]
 
 
+def dumped(wrapper: list) -> str:
+    """The wrapper as JSON without nesting: nodes in page order, each with its number of items, optional and repeated."""
+    out, todo = [], [[wrapper, False, False]]
+    while todo:
+        node, optional, repeated = todo.pop()
+        if node[0] == "#":
+            out.append([*node, optional, repeated])
+        else:
+            out.append([node[0], len(node[1]), optional, repeated])
+            todo += reversed(node[1])
+    return json.dumps(out)
+
+
+def loaded(text: str) -> list:
+    top: list = []
+    open_ = [(top, 1)]
+    for *node, optional, repeated in json.loads(text):
+        while len(open_[-1][0]) == open_[-1][1]:
+            open_.pop()
+        items, wanted = open_[-1]
+        if node[0] == "#":
+            items.append([node, optional, repeated])
+        else:
+            items.append([[node[0], []], optional, repeated])
+            open_.append((items[-1][0][1], node[1]))
+    return top[0][0]
+
+
 def expression(node: list) -> str:
     """The wrapper as a union-free regular expression, for reading."""
     if node[0] == "#":
@@ -428,7 +476,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([json.dumps(w) for _, w in held.values()], pa.string())],
+                [pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([dumped(w) for _, w in held.values()], pa.string())],
                 ["host", "pages", "wrapper"],
             )
             held.clear()
@@ -445,12 +493,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def combine(group: pd.DataFrame) -> pd.DataFrame:
         so_far = None
         for w in group["wrapper"].sort_values():
-            so_far = join(so_far, json.loads(w))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "pages": [group["pages"].sum()], "wrapper": [json.dumps(so_far)]})
+            so_far = join(so_far, loaded(w))
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "pages": [group["pages"].sum()], "wrapper": [dumped(so_far)]})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [content_slots(json.loads(w), n) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
+            slots = [content_slots(loaded(w), n) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots, pa.list_(pa.string()))], ["host", "pages", "wrapper", "slots"])
 
     kind = "host string, pages long, wrapper string"

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from kilohour.llm import wrapper
@@ -68,3 +69,30 @@ def test_each_page_is_read_by_the_regions_of_its_own_layout():
     got = read([p.format(i) for i in range(3) for p in pages])
     assert got == [t.format(i) for i in range(3) for t in ("One {0}", "Two {0} and more", "Three {0} and more", "Four {0}", "Five {0}")]
     assert read(["<article></article><div>Side</div>", "<article>x</article>"]) == ["", "x"]
+
+
+def test_nesting_has_no_limit(spark):
+    deep = "<body><div class=wrap><article>" + "<div>" * 100 + "Deep {0}" + "</div>" * 100 + "<p>Rest {0}</p></article><div>Side</div></div></body>"
+    below = "<body>" + "<section>" * 100 + "<nav>Home</nav><article><p>Low {0}</p><form>Mail</form></article><p>Side" + "</section>" * 100
+    assert read([deep.format(i) for i in range(3)]) == [f"Deep {i}\nRest {i}" for i in range(3)]
+    assert read([below.format(i) for i in range(3)]) == [f"Low {i}" for i in range(3)]
+    rows = [(i, "http://deep.example/", "<ul><li>" * 20_000 + f"text {i}" + "</ul>" * 20_000 + "<p>end") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}" for i in range(3)}
+    joint = wrapper.join(wrapper.tree("<dl><dt>a<dd>b<dt>c<dd>d</dl><p>x"), wrapper.tree("<h1>A</h1><dl><dt>k<dd>v</dl>"))
+    assert wrapper.loaded(wrapper.dumped(joint)) == joint
+
+
+def test_long_alignments_are_longest():
+    pick = random.Random(5)
+    for letters in ("ab", "abcdefgh"):
+        a, b = ([pick.choice(letters) for _ in range(n)] for n in (1100, 1300))
+        pairs = wrapper._common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        assert len(pairs) == row[-1]
+    assert wrapper._common(["x"], ["y"] * 1_100_000 + ["x"]) == [(0, 1_100_000)]
