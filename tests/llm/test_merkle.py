@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -38,3 +39,37 @@ def test_repeated_ids_null_id_and_empty_table(spark):
     got = sorted((r["doc_id"] or 0, r["n_chars"]) for r in merkle.compare(df).collect())
     assert got == [(0, 3), (1, 3), (1, 7), (2, 8), (2, 8)]
     assert merkle.compare(df.limit(0)).count() == 0
+
+
+def leaves(text):
+    """Runs of a text, point by point."""
+    ends, out = merkle.endings(), set()
+    fits = lambda c, k: ord(c) in ends[k][0] if c < "\x80" else c.encode()[-1] in ends[k][1]
+    for line in text.split("\n"):
+        run = ""
+        for c in line:
+            run += c
+            if len(run) == merkle.LONGEST or len(run) >= 4 and all(fits(x, k) for k, x in enumerate(run[-4:])):
+                out.add(run)
+                run = ""
+        out |= {run} - {""}
+    return out
+
+
+def alike(one, two):
+    a, b = leaves(one), leaves(two)
+    return 1.0 if one == two else 2 * len(a & b) / (len(a) + len(b) if a and b else 1)
+
+
+def test_likeness_against_a_plain_tree_on_unspaced_texts_and_inserts(spark):
+    pick = random.Random(4)
+    alphabets = ["".join(map(chr, range(0x4E00, 0x5E00))), "กขคงจฉชซญดตถทนบปผพฟมยรลวสหอะาิีุูเแโใไ", "あいうえおかきくけこさしすせそたちつてとなにぬねの", "ACGT", "0123456789abcdef", "😀😁😂🤣😃😄😅é~", "абвгдежзиклмнопрст"]
+    texts = ["".join(pick.choice(a) for _ in range(900)) for a in alphabets] + [" ".join(pick.choice(["one", "other", "word", "little", "grid", "power"]) for _ in range(600))]
+    got = {r["doc_id"]: r for r in merkle.compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        after, third = texts[i - 1], len(text) // 3
+        assert abs(got[i]["near_edited"] - alike(text, text[: len(text) - third] + after[:third])) < 1e-12 and got[i]["near_edited"] > 0.4
+        assert abs(got[i]["near_next"] - alike(text, after)) < 1e-12 and got[i]["near_next"] < 0.1
+    inserted = [(t, "x" + t[:300] + "y" + t[300:]) for t in texts]
+    df = spark.createDataFrame(inserted, "a string, b string").select("*", merkle.likeness(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("near"))
+    assert all(r["near"] > 0.8 and abs(r["near"] - alike(r["a"], r["b"])) < 1e-12 for r in df.collect())
