@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.llm import bpe, chat, decontam, langid, line_dedup, merkle, minhash, toxicity, warc, wrapper
+from kilohour.llm import bpe, chat, decontam, langid, line_dedup, merkle, minhash, spelling, toxicity, warc, wrapper
 from kilohour.llm.common import held_out, shared_name, table
 from kilohour.session import configure
 
@@ -169,3 +169,52 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked against the tiktoken library and byte by byte in tests/llm."""
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+# crc32 in SQL: the table of the reversed polynomial, and a fold over the bytes of a text
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table"""
+_CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+# UTF-8 bytes of a text below U+0100, the only ones that occur here
+_BYTES = """flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+        ELSE [194 + CAST(unicode(c) >= 192 AS BIGINT), 128 + unicode(c) % 64] END))"""
+
+
+@query(
+    "op13_spelling",
+    rf"""
+    WITH RECURSIVE crc AS ({_CRC_TABLE}),
+    runs AS (
+        SELECT doc_id, run, count(*) AS times FROM (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '{spelling.RUN}')) AS run FROM documents)
+        WHERE length(run) >= 6 GROUP BY doc_id, run
+    ), hashed AS (
+        SELECT run, times, {_CRC.format(bytes=_BYTES.format(text="coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM runs, crc
+    ), words AS (
+        SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+                        ELSE run END AS word, times FROM hashed)
+        WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+    ), places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+    open AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM places),
+    near AS (
+        SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM open a JOIN open b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail WHERE a.word <> b.word
+        UNION SELECT o.word, o.n, w.word, w.n FROM open o JOIN words w ON o.head || o.tail = w.word
+        UNION SELECT w.word, w.n, o.word, o.n FROM open o JOIN words w ON o.head || o.tail = w.word
+    ), best AS (
+        SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word
+    ), formed AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN top END AS form_n,
+               CASE WHEN top >= 5 * w.n THEN (SELECT min(other) FROM near WHERE near.word = w.word AND other_n = top) END AS form
+        FROM words w LEFT JOIN best USING (word)
+    ), walked AS (
+        SELECT word, word AS root, 0 AS steps FROM formed
+        UNION ALL SELECT walked.word, f.form, steps + 1 FROM walked JOIN formed f ON f.word = walked.root WHERE f.form IS NOT NULL
+    )
+    SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+    FROM formed f JOIN (SELECT word, max_by(root, steps) AS root FROM walked GROUP BY word) r USING (word)
+    """,
+)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents")).where(F.length("run") >= 6)
+    return spelling.variants(spelling.vocabulary(spelling.misspelt(found)))
