@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.llm import bpe, chat, decontam, langid, line_dedup, merkle, minhash, spelling, toxicity, warc, wrapper
+from kilohour.llm import bpe, chat, decontam, langid, line_dedup, merkle, minhash, prefix_trie, spelling, toxicity, warc, wrapper
 from kilohour.llm.common import held_out, shared_name, table
 from kilohour.session import configure
 
@@ -180,6 +180,38 @@ _BYTES = """flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN
         ELSE [194 + CAST(unicode(c) >= 192 AS BIGINT), 128 + unicode(c) % 64] END))"""
 
 
+@query(
+    "op11_prefix_trie",
+    rf"""
+    WITH crc AS ({_CRC_TABLE}),
+    own AS (
+        SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS seq
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ), dealt AS (SELECT conv_id, seq, {_CRC.format(bytes=_BYTES.format(text="CAST(conv_id AS VARCHAR)"))} % 6 AS h FROM own, crc),
+    made AS (
+        SELECT c.conv_id, list_concat(coalesce(list_slice(b.seq, 1, c.h), []), list_slice(c.seq, c.h + 1, len(c.seq))) AS seq
+        FROM dealt c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+    ), prefixes AS (
+        SELECT list_slice(seq, 1, d) AS p, d AS depth, conv_id, len(seq) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE length(seq[d].text) END AS size
+        FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM made)
+    ), nodes AS (
+        SELECT p, depth, list_slice(p, 1, depth - 1) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+        FROM prefixes GROUP BY p, depth
+    ), kids AS (SELECT above AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+    below AS (
+        SELECT list_slice(n.p, 1, d) AS p, sum((n_convs - 1) * size) AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+        FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) n LEFT JOIN kids ON kids.p = n.p GROUP BY list_slice(n.p, 1, d)
+    )
+    SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+           CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN below ON below.p = n.p LEFT JOIN kids ON kids.p = n.p LEFT JOIN nodes a ON n.depth > 0 AND a.p = n.above
+    """,
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 @query(
     "op13_spelling",
     rf"""
