@@ -106,14 +106,14 @@ def classes() -> np.ndarray:
     return out
 
 
-def run_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def run_starts(codes: np.ndarray, first: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
     """Where the pre-tokens of RUN_PATTERN start, for texts laid end to end; ``first`` marks each text's first character.
 
     A token is a run of one class. A run of white space gives its last character up: to the next token if that is a
     blank, otherwise as a token of its own; at the end of a text it stays whole. An apostrophe that starts a token takes
-    an ending with it, and the letters behind the ending start the next token.
+    an ending with it, and the letters behind the ending start the next token. ``kind`` gives other character classes.
     """
-    kind = classes()[codes]
+    kind = classes()[codes] if kind is None else kind
     start = first.copy()
     start[1:] |= kind[1:] != kind[:-1]
     after = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE) & ~first[1:]) + 1

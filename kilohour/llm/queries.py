@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilohour.llm import bpe, chat, decontam, langid, line_dedup, merkle, minhash, prefix_trie, spelling, toxicity, warc, wrapper
+from kilohour.llm import bpe, chat, chunk_bpe, decontam, langid, line_dedup, merkle, minhash, prefix_trie, spelling, toxicity, warc, wrapper
 from kilohour.llm.common import held_out, shared_name, table
 from kilohour.session import configure
 
@@ -212,6 +212,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
 
 
+@query("op12_chunk_bpe")
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked against the tokenizers library in tests/llm."""
+    return chunk_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
 @query(
     "op13_spelling",
     rf"""
