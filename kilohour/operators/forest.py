@@ -89,7 +89,7 @@ def fit_forest(history: DataFrame, features: Sequence[str], settings: ForestSett
 
     # Every later step reads the trees; they are bounded by regions, trees and sample size.
     trees = cut_lineage(sampled.groupBy("region", "tree").applyInPandas(grow, _TREE))
-    scores = _score(scaled, trees, s)
+    scores = cut_lineage(_score(scaled, trees, s))  # read several times for thresholds
     levels = {"score_threshold": s.score_quantile, "extreme_threshold": s.extreme_quantile, "_offset": 1.0 - s.contamination}
     thresholds = cut_lineage(
         exact_quantiles(scores, keys=["region"], value="isolation_score", probabilities=levels)
@@ -241,6 +241,7 @@ def forest_events(scored: DataFrame, target: str, detected_at: Column) -> DataFr
 
 def calibration(forest: Forest, rows: DataFrame, scored: DataFrame) -> DataFrame:
     """Score distributions, effective rate and gap count in one row."""
+    scored = cut_lineage(scored)
     fitted = exact_quantiles(forest.training_scores, keys=[], value="isolation_score", probabilities=DISTRIBUTION)
     seen = exact_quantiles(scored, keys=[], value="isolation_score", probabilities=DISTRIBUTION)
     counts = scored.agg(

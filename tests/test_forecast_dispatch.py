@@ -54,7 +54,8 @@ def test_promotion_gate(spark):
     out = {r["model_name"]: r for r in metrics.promotion_decisions(rows, reference="ref", threshold=0.1).collect()}
     assert [out[m]["champion_promoted"] for m in "abcd"] == [True, False, False, False]
     assert all(r["candidate_assigned"] for r in out.values())
-    assert "not comparable" in out["d"]["reason"] and "not finite" in out["c"]["reason"]
+    assert out["d"]["improvement"] is None and "nothing to compare" in out["d"]["reason"] and "missing or infinite" in out["c"]["reason"]
+    assert out["a"]["improvement"] == pytest.approx(0.5) and "falls short" in out["b"]["reason"]
 
 
 def test_training_job_and_prediction(spark, tmp_path):
