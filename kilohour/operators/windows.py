@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilohour.errors import InsufficientHistory
+from kilohour.functions.intervals import meet
 from kilohour.functions.ordered import side_by_side
 from kilohour.operators.continuity import segment_rows, segment_table
 from kilohour.series import HOURLY, SeriesSpec
@@ -133,8 +134,8 @@ def window_audit(
 ) -> DataFrame:
     """Every candidate origin the search visits, accepted or with the reasons per entity.
 
-    A gap can only spoil origins near it, so gaps meet candidates in an equi-join on time buckets
-    instead of testing every candidate in every entity.
+    A gap can only spoil origins near it, so gaps meet candidates in an equi-join on dyadic ranges of the time
+    grid, a few rows for a gap of any length, instead of testing every candidate in every entity.
     """
     segments = segment_table(segment_rows(df.select(*spec.key), spec), spec)
     chosen = _pick(segments, horizon, windows, step_size, required_history, spec, False)
@@ -155,8 +156,6 @@ def window_audit(
         .select(F.explode(F.sequence("_stop", "_top", step)).alias("origin"), "_o")
         .select("origin", F.array_contains("_o", F.col("origin")).alias("accepted"))
     )
-    width = horizon + required_history
-    bucket = lambda c: F.floor(spec.grid(c) / F.lit(width))
     prior = spec.shift("segment_start", 0)
     gaps = segments.where("gap_before_hours > 0").select(
         *spec.entity,
@@ -165,11 +164,10 @@ def window_audit(
         ).alias("_before"),
         F.col("segment_start").alias("_after"),
     )
-    spread = gaps.withColumn(
-        "_bucket",
-        F.explode(F.sequence(bucket(spec.shift("_before", -horizon)), bucket(spec.shift("_after", required_history)))),
-    )
-    hits = candidates.where(~F.col("accepted")).withColumn("_bucket", bucket("origin")).join(spread, "_bucket")
+    hits = meet(
+        candidates.where(~F.col("accepted")), gaps, point=spec.grid("origin"), salt=spec.entity,
+        low=spec.grid(spec.shift("_before", -horizon)), high=spec.grid(spec.shift("_after", required_history)),
+    )
     history_from = spec.shift("origin", 1 - required_history)
     horizon_to = spec.shift("origin", horizon)
     spoiled = hits.where((F.col("_after") > history_from) & (F.col("_before") < horizon_to))

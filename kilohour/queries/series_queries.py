@@ -154,7 +154,7 @@ def c2(spark, d):
 
 
 @query("c2_window_audit", """
-WITH RECURSIVE h AS (SELECT 'ALL' AS region, date_trunc('hour', ts) AS t FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2),
+WITH RECURSIVE h AS (SELECT 'ALL' AS region, date_trunc('hour', ts) AS t FROM events GROUP BY 1, 2 HAVING (epoch_us(t) // 3600000000) % 61 >= 2),
 b AS (SELECT max(t) - INTERVAL 12 HOUR AS newest, min(t) + INTERVAL 23 HOUR AS oldest FROM h),
 cal AS (SELECT unnest(generate_series(oldest, newest, INTERVAL 1 HOUR)) AS t FROM b),
 stat AS (SELECT cal.t, 24 - (SELECT count(*) FROM h WHERE h.t BETWEEN cal.t - INTERVAL 23 HOUR AND cal.t) AS mh,
@@ -169,10 +169,10 @@ LEFT JOIN LATERAL (SELECT unnest(list_filter([
     CASE WHEN s.mh > 0 THEN 'ALL:insufficient_contiguous_history:' || s.mh || '_missing_hours' END,
     CASE WHEN s.mv > 0 THEN 'ALL:incomplete_forecast_horizon:' || s.mv || '_missing_hours' END], lambda x: x IS NOT NULL)) AS reason) r ON TRUE""")
 def c2_audit(spark, d):
-    """Candidates the search visits with their rejection reasons."""
+    """Candidates the search visits with their rejection reasons; all events, with two of 61 hours blanked out."""
     rows = (
-        a.events(spark, d).where("user_id % 3 = 0")
-        .select(F.lit("ALL").alias("region"), F.date_trunc("HOUR", "ts").alias("timestamp_utc")).distinct()
+        a.events(spark, d).select(F.lit("ALL").alias("region"), F.date_trunc("HOUR", "ts").alias("timestamp_utc")).distinct()
+        .where(F.floor(F.unix_seconds("timestamp_utc") / 3600) % 61 >= 2)
     )
     return windows.window_audit(rows, **_C2, spec=SMALL)
 
