@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from kilohour.contracts import FORECAST_COLUMNS
 from kilohour.errors import InsufficientHistory
-from kilohour.operators.features import FeatureSpec, context_arrays, features_from_context, training_matrix
+from kilohour.functions.calendar import CALENDAR_FEATURES, calendar_features
+from kilohour.operators.features import FeatureSpec, context_arrays, training_matrix
 from kilohour.operators.forecast import attach_actuals
 from kilohour.operators.metrics import forecast_metrics
+from kilohour.operators.trees import path_contributions, stepwise, with_level
 from kilohour.series import HOURLY, SeriesSpec
 from kilohour.session import cut_lineage
 
-CUT_EVERY = 3
-
 
 @dataclass(frozen=True)
 class ModelSettings:
@@ -124,9 +124,9 @@ def recursive_forecast(
 ) -> DataFrame:
     """Forecast all regions step by step; each prediction becomes the newest value of its region.
 
-    The state is one row per region: the last ``required_history`` values, the predictions so far
-    and, for weather-aware models, the weather of the coming steps. All of it is bounded by the
-    feature contract and the horizon. Lineage is cut with a stored table every few steps.
+    The state is one row per region: the last ``required_history`` values and, for weather-aware models, the
+    weather of the coming steps, all bounded by the feature contract and the horizon. The trees are compiled to
+    arrays, so one stage carries a region through all steps. Region names must be the model's ``region`` column.
     """
     spec, features = model.spec, model.features
     known = history.where(F.col(spec.value).isNotNull())
@@ -139,25 +139,15 @@ def recursive_forecast(
     state = context_arrays(known, spec.shift(origin, 1), features.required_history, spec)
     if not state.where("missing_context_hours > 0").isEmpty():
         raise InsufficientHistory("a region lacks contiguous history before the origin")
-    state = state.drop("missing_context_hours", spec.time).withColumn("_out", F.array().cast("array<double>"))
+    state = state.drop("missing_context_hours", spec.time)
     if features.extra:
-        state = state.join(_future_arrays(future, origin, horizon, features, spec), list(spec.entity))
-    for step in range(1, horizon + 1):
-        rows = state.withColumn("missing_context_hours", F.lit(0)).withColumn(spec.time, spec.shift(origin, step))
-        for name in features.extra:
-            rows = rows.withColumn(name, F.element_at("_weather", step)[name])
-        value = F.greatest(F.col("_prediction"), F.lit(0.0)) if nonnegative else F.col("_prediction")
-        scored = model.predict(features_from_context(rows, features, spec)).withColumn("_value", value)
-        keep = [*spec.entity, *(["_weather"] if features.extra else [])]
-        state = scored.select(
-            *keep,
-            F.concat(F.slice("_context", 2, features.required_history - 1), F.array("_value")).alias("_context"),
-            F.concat("_out", F.array("_prediction")).alias("_out"),
-        )
-        if step % CUT_EVERY == 0 and step < horizon:
-            state = cut_lineage(state)
+        ahead = F.transform("_weather", lambda w: F.array(*[w[c].cast("double") for c in features.extra])).alias("_ahead")
+        state = state.join(_future_arrays(future, origin, horizon, features, spec).select(*spec.entity, ahead), list(spec.entity))
+    steps = history.sparkSession.range(1, horizon + 1).select("id", spec.shift(origin, F.col("id")).alias(spec.time))
+    days = steps.select("id", *[c.alias(n) for n, c in calendar_features(spec.time).items()]).orderBy("id").collect()
+    out = stepwise(model, with_level(model, state), [[d[n] for n in CALENDAR_FEATURES] for d in days], nonnegative)
     s = model.settings
-    raw = state.select(*spec.entity, F.posexplode("_out").alias("_i", "_raw"))
+    raw = out.select(*spec.entity, F.posexplode("_out").alias("_i", "_raw"))
     value = F.greatest(F.col("_raw"), F.lit(0.0)) if nonnegative else F.col("_raw")
     return raw.select(
         *spec.entity,
@@ -306,29 +296,7 @@ def permutation_importance(
     )
 
 
-def local_contributions(
-    model: FittedModel, rows: DataFrame, reference: DataFrame, *, top: int = 10
-) -> DataFrame:
-    """For a few rows: change of the prediction when a feature is set to its reference mean, largest first."""
-    names = model.features.names
-    means = reference.agg(F.struct(*[F.avg(n).alias(n) for n in names]).alias("_mean"))  # one row
-    base = rows.select(*model.spec.key, *names).crossJoin(F.broadcast(means))
-    kinds = F.array(F.lit(""), *[F.lit(n) for n in names])
-    varied = base.withColumn("feature", F.explode(kinds)).select(
-        *model.spec.key, "feature",
-        *[F.when(F.col("feature") == n, F.col("_mean")[n]).otherwise(F.col(n)).alias(n) for n in names],
-    )
-    scored = model.predict(varied).groupBy(*model.spec.key).agg(
-        F.max(F.when(F.col("feature") == "", F.col("_prediction"))).alias("prediction"),
-        F.collect_list(F.struct("feature", "_prediction")).alias("_all"),  # one entry per feature
-    )
-    parts = F.transform(
-        F.filter("_all", lambda x: x["feature"] != ""),
-        lambda x: F.struct(
-            F.abs(F.col("prediction") - x["_prediction"]).alias("size"), x["feature"].alias("feature"),
-            (F.col("prediction") - x["_prediction"]).alias("contribution"),
-        ),
-    )
-    return scored.select(*model.spec.key, "prediction", F.slice(F.sort_array(parts, asc=False), 1, top).alias("contributions"))
-
-
+def local_contributions(model: FittedModel, rows: DataFrame, *, top: int = 10) -> DataFrame:
+    """The features that add most to each row's prediction, by size; all of them add up to it (see ``path_contributions``)."""
+    found = path_contributions(model, rows)
+    return found.withColumn("contributions", F.slice("contributions", 1, top))

@@ -1,10 +1,10 @@
-"""Tree models and isolation forests over the supplied tables. None has a SQL form."""
+"""Tree models and isolation forests over the supplied tables; SQL states what planted series make them say."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kilohour.operators import features, forest, metrics, models, windows
+from kilohour.operators import features, forest, metrics, models, trees, windows
 from kilohour.plans import adapters as a
 from kilohour.queries.registry import query
 from kilohour.session import cut_lineage
@@ -193,3 +193,74 @@ def d4_planted(spark, d):
     best = scored.groupBy("region").agg(F.max("isolation_score").alias("top"))
     late = scored.join(best, "region").join(last, "region").where(F.col("timestamp_utc") == F.col("_last"))
     return late.select("region", "timestamp_utc", (F.col("isolation_score") == F.col("top")).alias("ranked_first"))
+
+
+# -- series that a tree of small depth fits exactly, so SQL can state the fitted values and forecasts
+
+_STEPS_SQL = """WITH seen AS (SELECT 'g' || CAST(user_id % 2 AS VARCHAR) AS region, date_trunc('hour', ts) AS t FROM events GROUP BY 1, 2),
+common AS (SELECT t FROM seen GROUP BY t HAVING count(*) = 2),
+planted AS (SELECT region, t, {value} AS v FROM seen SEMI JOIN common USING (t)),
+full_rows AS (SELECT *, count(*) OVER (PARTITION BY region ORDER BY t RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS past FROM planted)
+"""
+_STEP_SQL = "CASE WHEN hour({t}) < 6 THEN 100.0 WHEN hour({t}) < 12 THEN 300.0 WHEN hour({t}) < 18 THEN 400.0 ELSE 200.0 END + CASE region WHEN 'g1' THEN 1000 ELSE 0 END"
+_HOT_SQL = _STEP_SQL + " + CASE WHEN day({t}) % 2 = 0 THEN 5000 ELSE 0 END"
+EXACT = models.ModelSettings(iterations=3, depth=6, step=0.3)
+
+
+def _planted(spark, d, weather=False):
+    """Steps of the hour, a level per region and, with weather, of the temperature; hours and regions are those of the events."""
+    hour = F.hour("timestamp_utc")
+    value = F.when(hour < 6, 100.0).when(hour < 12, 300.0).when(hour < 18, 400.0).otherwise(200.0) + F.when(F.col("region") == "g1", 1000).otherwise(0)
+    rows = _dense(spark, d).select("region", "timestamp_utc", _temperature())
+    return rows.withColumn("demand_mw", value + (F.when(F.col("temperature_c") > 20, 5000).otherwise(0) if weather else 0))
+
+
+def _temperature():
+    return F.when(F.day("timestamp_utc") % 2 == 0, 30.0).otherwise(10.0).alias("temperature_c")
+
+
+@query("m7_planted_steps", _STEPS_SQL.format(value=_STEP_SQL.format(t="t")) + "SELECT region, t AS timestamp_utc, round(CAST(v AS DOUBLE), 6) AS predicted_value FROM full_rows WHERE past = 24")
+def m7_planted(spark, d):
+    """Fitted values of every complete row of a series that few splits explain."""
+    matrix = features.training_matrix(_planted(spark, d).drop("temperature_c"), SHORT)
+    model = models.fit_model(matrix, SHORT, EXACT)
+    return model.predict(matrix.dropna()).select("region", "timestamp_utc", F.round("_prediction", 6).alias("predicted_value"))
+
+
+@query("m9_planted_forecast", _STEPS_SQL.format(value=_STEP_SQL.format(t="t")) + """, ends AS (SELECT region, max(t) AS o FROM planted GROUP BY region),
+ahead AS (SELECT region, o, CAST(k AS INTEGER) AS forecast_step, o + k * INTERVAL 1 HOUR AS f FROM ends, (SELECT unnest(range(1, 49)) AS k))
+SELECT region, o AS forecast_origin, f AS timestamp_utc, forecast_step, round(CAST(""" + _STEP_SQL.format(t="f") + """ AS DOUBLE), 6) AS predicted_value FROM ahead""")
+def m9_planted(spark, d):
+    """Two days ahead, recursively (also M15): each step repeats what the planted steps say."""
+    rows = _planted(spark, d).drop("temperature_c")
+    made = models.recursive_forecast(models.fit_target_model(rows, SHORT, EXACT), rows, horizon=48, created_at=_now())
+    return made.select("region", "forecast_origin", "timestamp_utc", "forecast_step", F.round("predicted_value", 6).alias("predicted_value"))
+
+
+@query("m8_planted_weather", _STEPS_SQL.format(value=_HOT_SQL.format(t="t")) + """, ends AS (SELECT region, max(t) AS o FROM planted GROUP BY region),
+ahead AS (SELECT region, o, CAST(k AS INTEGER) AS forecast_step, o + k * INTERVAL 1 HOUR AS f FROM ends, (SELECT unnest(range(1, 13)) AS k))
+SELECT region, f AS timestamp_utc, forecast_step, round(CAST(""" + _HOT_SQL.format(t="f") + """ AS DOUBLE), 6) AS predicted_value FROM ahead""")
+def m8_planted(spark, d):
+    """Half a day ahead with the weather of the coming hours, which decides the level."""
+    rows = _planted(spark, d, weather=True)
+    spec = features.FeatureSpec("target", lags=(1, 24), windows=(3, 24), extra=("temperature_c",))
+    end = F.expr("max(timestamp_utc)")
+    hours = rows.groupBy("region").agg(F.explode(F.sequence(end + F.expr("INTERVAL 1 HOUR"), end + F.expr("INTERVAL 12 HOURS"), F.expr("INTERVAL 1 HOUR"))).alias("timestamp_utc"))
+    ahead = hours.select("region", "timestamp_utc", _temperature())
+    made = models.recursive_forecast(models.fit_target_model(rows, spec, EXACT), rows, horizon=12, created_at=_now(), future=ahead)
+    return made.select("region", "timestamp_utc", "forecast_step", F.round("predicted_value", 6).alias("predicted_value"))
+
+
+@query("m16_path_contributions", _STEPS_SQL.format(value=_STEP_SQL.format(t="t")) + """, whole AS (SELECT * FROM full_rows WHERE past = 24)
+SELECT region, t AS timestamp_utc, round(CAST(v AS DOUBLE), 6) AS prediction, round((SELECT avg(v) FROM whole), 6) AS base,
+  round(v - (SELECT avg(v) FROM whole), 6) AS sum_of_contributions, true AS sizes_descend FROM whole""")
+def m16_paths(spark, d):
+    """What the features add along the trees' paths sums to the prediction less the mean of the training rows."""
+    matrix = features.training_matrix(_planted(spark, d).drop("temperature_c"), SHORT)
+    found = trees.path_contributions(models.fit_model(matrix, SHORT, EXACT), matrix)
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["contribution"])
+    sizes = F.transform("contributions", lambda c: c["size"])
+    return found.select(
+        "region", "timestamp_utc", F.round("prediction", 6).alias("prediction"), F.round("base", 6).alias("base"),
+        F.round(total, 6).alias("sum_of_contributions"), (F.sort_array(sizes, asc=False) == sizes).alias("sizes_descend"),
+    )
