@@ -1,12 +1,13 @@
 """Language identification with spans: script ranges, per-word scores, and Viterbi with a switching penalty.
 
-A word is a run of letters (and marks), in lower case. The script of its first letter leaves the languages whose training
+A word is a run of letters, with the marks that follow them, in lower case. The script of its first letter leaves the languages whose training
 texts use that script. Per-word scores are sums of log-probabilities of the word's hashed character n-grams (1 to 4, with
 a blank at either end). Viterbi over a text's words pays ``penalty`` for each change of language, so a run of words gets one
 label and mixed texts fall into spans. A text's language is the one with the most letters.
 
-Bounds, all parameters: the tables are learned from about ``max_per_language`` texts of each of the ``max_languages``
-commonest languages, chosen by id hash; ``1 << bits`` buckets a language. Labelling covers all rows and whole texts.
+Bounds, all parameters: the tables are learned from about ``max_per_language`` texts of each language, chosen by id hash;
+``1 << bits`` buckets a language, fewer where all languages together would take more than ``table_bytes``. Every language
+that occurs is learned. Labelling covers all rows and whole texts.
 
 Defined results: null texts and texts without letters are ``und`` with score 0 and no spans; without training texts every
 text is ``und``. Ties go to the language that sorts first.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -25,16 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilohour.llm.common import decoded, held_out, sized_batches, stored
+from kilohour.llm.common import decoded, held_out, sized_batches
 from kilohour.llm.ngrams import buckets
 
 # First and last code point of the ranges of scripts, in the order of the code charts.
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
-    ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x077F), ("devanagari", 0x0900, 0x097F), ("bengali", 0x0980, 0x09FF),
-    ("tamil", 0x0B80, 0x0BFF), ("telugu", 0x0C00, 0x0C7F), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF),
-    ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF),
-    ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x20000, 0x3FFFF),
+    ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x06FF), ("syriac", 0x0700, 0x074F), ("arabic", 0x0750, 0x077F),
+    ("thaana", 0x0780, 0x07BF), ("nko", 0x07C0, 0x07FF), ("arabic", 0x08A0, 0x08FF), ("devanagari", 0x0900, 0x097F),
+    ("bengali", 0x0980, 0x09FF), ("gurmukhi", 0x0A00, 0x0A7F), ("gujarati", 0x0A80, 0x0AFF), ("oriya", 0x0B00, 0x0B7F),
+    ("tamil", 0x0B80, 0x0BFF), ("telugu", 0x0C00, 0x0C7F), ("kannada", 0x0C80, 0x0CFF), ("malayalam", 0x0D00, 0x0D7F),
+    ("sinhala", 0x0D80, 0x0DFF), ("thai", 0x0E00, 0x0E7F), ("lao", 0x0E80, 0x0EFF), ("tibetan", 0x0F00, 0x0FFF),
+    ("myanmar", 0x1000, 0x109F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x139F),
+    ("cherokee", 0x13A0, 0x13FF), ("khmer", 0x1780, 0x17FF), ("mongolian", 0x1800, 0x18AF), ("georgian", 0x1C90, 0x1CBF),
+    ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("tifinagh", 0x2D30, 0x2D7F), ("ethiopic", 0x2D80, 0x2DDF),
+    ("kana", 0x3040, 0x30FF), ("bopomofo", 0x3100, 0x312F), ("han", 0x3400, 0x9FFF), ("yi", 0xA000, 0xA4CF),
+    ("arabic", 0xFB50, 0xFDFF), ("arabic", 0xFE70, 0xFEFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x20000, 0x3FFFF),
 )
 NAMES = ["other", *dict.fromkeys(s for s, _, _ in SCRIPTS)]
 UNKNOWN = "und"
@@ -45,7 +52,7 @@ class Settings:
     orders: tuple[int, ...] = (1, 2, 3, 4)
     bits: int = 18
     max_per_language: int = 4000
-    max_languages: int = 256
+    table_bytes: int = 1 << 28
     smoothing: float = 0.5
     penalty: float = 12.0
     least_script_share: float = 0.005
@@ -64,8 +71,17 @@ class Model:
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """Whether a code point is a letter or a mark."""
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+    """2 for a letter, 1 for a mark, else 0, by code point."""
+    of = {"L": 2, "M": 1}
+    return np.fromiter((of.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+
+
+def in_words(codes: np.ndarray) -> np.ndarray:
+    """Which code points belong to words: letters, and marks behind a letter with nothing but marks and letters between."""
+    kind = letters()[codes]
+    so_far = np.cumsum(kind == 2)
+    before = np.maximum.accumulate(np.where(kind == 0, so_far, 0))  # letters up to the last other code point
+    return (kind > 0) & (so_far > before)
 
 
 @lru_cache(maxsize=1)
@@ -92,7 +108,7 @@ def words_of(texts: list[str], settings: Settings) -> Words:
     lower = [low if len(low := t.lower()) == len(t) else "".join(c if len(c.lower()) != 1 else c.lower() for c in t) for t in texts]
     codes = np.frombuffer((" " + " ".join(lower) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in lower])])[:-1]
-    is_letter = letters()[codes]
+    is_letter = in_words(codes)
     codes = np.where(is_letter, codes, np.uint32(32))
     edge = np.flatnonzero(is_letter[1:] != is_letter[:-1]) + 1
     first, last = edge[0::2], edge[1::2]
@@ -115,11 +131,11 @@ def words_of(texts: list[str], settings: Settings) -> Words:
 
 def _sample(docs: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]:
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()
+    sizes = known.groupBy("lang").count().collect()  # a row per language
     languages = sorted(r["lang"] for r in sizes)
     share = {r["lang"]: min(1.0, settings.max_per_language / r["count"]) for r in sizes}
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1_000_000)) / 1e6
-    wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(s)) for lang, s in share.items()], F.lit(0.0)) if share else F.lit(0.0)
+    wanted = F.try_element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang")) if share else F.lit(0.0)
     return known.where(draw < wanted).repartition(8, "doc_id").select("lang", "text"), languages
 
 
@@ -128,6 +144,8 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     settings = settings or Settings()
     rows, languages = _sample(docs, settings)
     place = {lang: i for i, lang in enumerate(languages)}
+    fits = settings.table_bytes // (4 * max(1, len(languages)))
+    settings = replace(settings, bits=min(settings.bits, max(8, fits.bit_length() - 1)))
     size = 1 << settings.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,3 +114,32 @@ def test_language_of_mixed_and_odd_texts(spark):
     assert langid.predict(docs.limit(0), model, ["doc_id"]).count() == 0
     empty = langid.fit(docs.where("lang is null"))
     assert langid.predict(docs.where(F.col("doc_id") == 1), empty, ["doc_id"]).first()["lang_pred"] == "und"
+
+
+def test_texts_without_letters_have_no_language(spark):
+    """Marks, symbols and keycaps are no letters; a mark counts only behind a letter."""
+    train = [(i, prose(lang, 20), lang) for i, lang in enumerate(["de", "en", "ru"] * 20)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    none = ["❤️", "́", "1️⃣", " ̀́ . ⃝", "👍🏽", "̀ 1́"]
+    some = ["á", "́a", "1́ b"]
+    df = spark.createDataFrame(list(enumerate(none + some)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model, ["doc_id"]).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(len(none))) and all(got[i][0] != "und" for i in range(len(none), len(got)))
+    assert langid.in_words(np.array([ord(c) for c in "́á́b 1́c"], np.uint32)).tolist() == [False, True, True, True, True, False, False, False, True]
+    assert len({langid.script_of()[ord(c)] for c in "કಕമසខලကདአᏣ"}) >= 9
+
+
+def test_every_language_is_learned(spark):
+    """300 language tags, each with words of its own: none is dropped, and the table stays within its bytes."""
+    tags = [f"x{i:03d}" for i in range(300)]
+    word = {t: "".join(chr(97 + (i * 7 + k * (3 + i % 23)) % 26) for k in range(9)) for i, t in enumerate(tags)}
+    rows = [(n * 300 + i, " ".join([word[t]] * 12), t) for i, t in enumerate(tags) for n in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small = langid.Settings(table_bytes=1 << 24)
+    model = langid.fit(docs, small)
+    assert model.table.nbytes <= 1 << 24 and set(model.languages) <= set(tags)
+    learned = {r["lang"] for r in docs.where(~held_out("doc_id")).select("lang").distinct().collect()}
+    assert set(model.languages) == learned and len(learned) > 256
+    got = langid.predict(docs, model, ["doc_id", "lang"]).collect()
+    known = [r for r in got if r["lang"] in learned]
+    assert sum(r["lang"] == r["lang_pred"] for r in known) > 0.95 * len(known)
