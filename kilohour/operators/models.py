@@ -5,19 +5,20 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from kilohour.contracts import FORECAST_COLUMNS
 from kilohour.errors import InsufficientHistory
 from kilohour.functions.calendar import CALENDAR_FEATURES, calendar_features
 from kilohour.operators.features import FeatureSpec, context_arrays, training_matrix
 from kilohour.operators.forecast import attach_actuals
-from kilohour.operators.metrics import forecast_metrics
 from kilohour.operators.trees import path_contributions, stepwise, with_level
 from kilohour.series import HOURLY, SeriesSpec
 from kilohour.session import cut_lineage
@@ -227,6 +228,14 @@ def draw_settings(base: ModelSettings, trials: int, seed: int) -> list[ModelSett
     ]
 
 
+@dataclass(frozen=True)
+class Tuning:
+    """The winner, and one row per fit: rung, candidate (its place in the list), origin, wape, kept (goes on to the next rung)."""
+
+    winner: ModelSettings
+    fits: DataFrame
+
+
 def tune_model(
     frame: DataFrame,
     windows: DataFrame,
@@ -237,18 +246,43 @@ def tune_model(
     horizon: int,
     created_at: Column,
     spec: SeriesSpec = HOURLY,
-) -> tuple[ModelSettings, list[tuple[ModelSettings, float]]]:
-    """The candidate with the smallest WAPE on windows that end before the final evaluation."""
+    at_once: int = 4,
+) -> Tuning:
+    """Successive halving on windows that end before the final evaluation, the oldest first.
+
+    Each rung adds one window: every candidate that is left is fitted on the rows up to its origin and forecasts it. The
+    better half goes on (at least one); a candidate's score is the WAPE over all its windows so far, ties go to the earlier
+    candidate. The last rung's best wins. All fits read one stored feature matrix; ``at_once`` of them run at a time.
+    """
     last = windows.agg(F.max("validation_end")).first()[0]
     if last >= final_start:
         raise ValueError("tuning windows overlap the final evaluation")
-    older = frame.where(F.col(spec.time) < F.lit(final_start))
-    scores = []
-    for settings in candidates:
-        fit = lambda past, s=settings: fit_target_model(past, features, s, spec=spec)
-        rows = evaluate_model(older, windows, fit, horizon=horizon, created_at=created_at, spec=spec)
-        scores.append((settings, forecast_metrics(rows, mase_scale=1.0).first()["wape"]))
-    return min(scores, key=lambda item: item[1])[0], scores
+    older = cut_lineage(frame.where((F.col(spec.time) < F.lit(final_start)) & F.col(spec.value).isNotNull()))
+    matrix = cut_lineage(training_matrix(older, features, spec))
+    origins = [r["origin"] for r in windows.select("origin").orderBy("origin").collect()]
+    future = older.select(*spec.key, *features.extra) if features.extra else None
+
+    def tried(settings: ModelSettings, origin: object) -> tuple[float, float]:
+        known = F.col(spec.time) <= F.lit(origin)
+        model = fit_model(matrix.where(known), features, settings, spec=spec)
+        made = recursive_forecast(model, older.where(known), horizon=horizon, created_at=created_at, future=future)
+        seen = attach_actuals(made, older, spec).where(F.col("actual_value").isNotNull())
+        sums = seen.agg(F.sum(F.abs(F.col("predicted_value") - F.col("actual_value"))), F.sum(F.abs("actual_value"))).first()
+        return sums[0] or 0.0, sums[1] or 0.0
+
+    left, totals, fits = list(range(len(candidates))), {i: (0.0, 0.0) for i in range(len(candidates))}, []
+    wape = lambda pair: pair[0] / pair[1] if pair[1] else float("inf")
+    with ThreadPool(max(1, at_once)) as pool:
+        for rung, origin in enumerate(origins, 1):
+            results = pool.map(inheritable_thread_target(older.sparkSession)(lambda i, o=origin: tried(candidates[i], o)), left)
+            for i, (error, size) in zip(left, results, strict=True):
+                totals[i] = (totals[i][0] + error, totals[i][1] + size)
+            ranked = sorted(left, key=lambda i: (wape(totals[i]), i))
+            going = ranked[: max(1, len(ranked) // 2)] if rung < len(origins) else ranked[:1]
+            fits += [(rung, i, origin, wape(totals[i]), i in going) for i in left]
+            left = sorted(going)
+    schema = "rung int, candidate int, origin timestamp, wape double, kept boolean"
+    return Tuning(candidates[left[0]], older.sparkSession.createDataFrame(fits, schema))
 
 
 # -- importance -------------------------------------------------------------------------------

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilohour.errors import NotFound
 from kilohour.functions.ordered import side_by_side
 from kilohour.series import HOURLY
+from kilohour.session import shared_folder
 from kilohour.sources.tables import filtered
 
 SERIES = ["region", "target", "forecast_origin", "model_name", "model_version", "run_id", "weather_mode"]
@@ -18,7 +21,10 @@ SERIES = ["region", "target", "forecast_origin", "model_name", "model_version",
 def page(
     df: DataFrame, order: Sequence[Column | str], *, limit: int, offset: int = 0, equal: Mapping[str, object] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """One page of rows in a stable order, and the total before paging. End ``order`` with a unique id."""
+    """One page of rows in a stable order, and the total before paging. End ``order`` with a unique id.
+
+    Right for the first pages of a listing: offset and limit rows of every task are merged. Use a ``PageDirectory`` for deep pages.
+    """
     rows = filtered(df, equal or {})
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     info = total.select(
@@ -29,6 +35,65 @@ def page(
     return rows.orderBy(*order).offset(offset).limit(limit), info
 
 
+@dataclass(frozen=True)
+class PageDirectory:
+    """A listing stored in ranges of its order, with the rows of each range: any page is read from the ranges it touches."""
+
+    path: str
+    order: tuple[Column | str, ...]
+    counts: tuple[int, ...]
+
+    @property
+    def total(self) -> int:
+        return sum(self.counts)
+
+    def touched(self, limit: int, offset: int) -> tuple[list[int], int]:
+        """Ranges that hold rows offset .. offset + limit - 1, and how many rows of the first one come before them."""
+        parts, skip, start = [], 0, 0
+        for part, n in enumerate(self.counts):
+            if n and start < offset + limit and start + n > offset:
+                if not parts:
+                    skip = offset - start
+                parts.append(part)
+            start += n
+        return parts, skip
+
+    def page(self, spark: SparkSession, *, limit: int, offset: int = 0) -> DataFrame:
+        """Rows of one page in order; empty behind the end. Only the files of the ranges it touches are read."""
+        if limit < 0 or offset < 0:
+            raise ValueError("limit and offset must not be negative")
+        parts, skip = self.touched(limit, offset)
+        rows = spark.read.parquet(self.path).where(F.col("_part").isin(parts)).drop("_part")
+        return rows.orderBy(*self.order).offset(max(0, skip)).limit(limit if parts else 0)
+
+    def info(self, spark: SparkSession, *, limit: int, offset: int = 0) -> DataFrame:
+        """limit, offset, total, returned and has_more of a page, without reading rows."""
+        total = self.total
+        row = (limit, offset, total, max(0, min(total - offset, limit)), total > offset + limit)
+        return spark.createDataFrame([row], "`limit` long, `offset` long, total long, returned long, has_more boolean")
+
+
+def page_directory(
+    df: DataFrame, order: Sequence[Column | str], *, rows_per_part: int = 1_000_000, equal: Mapping[str, object] | None = None
+) -> PageDirectory:
+    """Store a listing for deep paging. End ``order`` with a unique id; rows that tie in all of it may swap pages.
+
+    One range sort cuts the rows into about ``rows_per_part`` each; borders come from a sample, the directory from counts, so
+    uneven ranges cost reading, not correctness. Rows with equal order values share a range. The driver holds a number a range.
+    """
+    if "_part" in df.columns:
+        raise ValueError("a listed column may not be named _part")
+    rows = filtered(df, equal or {})
+    parts = max(1, -(-rows.count() // rows_per_part))
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/pages-{uuid4().hex}"
+    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.partitionBy("_part").parquet(path)
+    if rows.isEmpty():
+        rows.withColumn("_part", F.lit(0)).write.mode("overwrite").parquet(path)
+    found = {r["_part"]: r["count"] for r in df.sparkSession.read.parquet(path).groupBy("_part").count().collect()}
+    return PageDirectory(path, tuple(order), tuple(found.get(i, 0) for i in range(max(found, default=-1) + 1)))
+
+
 def complete_horizons(forecasts: DataFrame, horizon: int) -> DataFrame:
     """Series whose first ``horizon`` rows are exactly origin+1 .. origin+horizon.
 

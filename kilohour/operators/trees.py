@@ -72,7 +72,7 @@ def exported_nodes(model: FittedModel) -> DataFrame:
 
     ``feature`` is null in a leaf. Values at most the threshold go left. The model is written to the shared folder.
     """
-    trees, spark = model.pipeline.stages[-1], SparkSession.getActiveSession()
+    trees, spark = model.pipeline.stages[-1], SparkSession.builder.getOrCreate()
     path = f"{shared_folder(spark).rstrip('/')}/trees-{uuid4().hex}"
     trees.write().save(path)
     weights = F.array(*[F.lit(float(w)) for w in trees.treeWeights])

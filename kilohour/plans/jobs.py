@@ -172,9 +172,9 @@ def train(
         search = select_windows(older, horizon=horizon, windows=windows, step_size=step_size, required_history=history)
         start = chosen.agg(F.min("validation_start")).first()[0]
         candidates = models.draw_settings(settings, trials, settings.seed)
-        settings, _ = models.tune_model(
+        settings = models.tune_model(
             frame, search, start, features, candidates, horizon=horizon, created_at=created_at
-        )
+        ).winner
     base = forecast.require_complete(forecast.evaluate_baselines(frame, chosen, horizon=horizon))
 
     def fit(past: DataFrame) -> models.FittedModel:

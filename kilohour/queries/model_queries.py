@@ -264,3 +264,24 @@ def m16_paths(spark, d):
         "region", "timestamp_utc", F.round("prediction", 6).alias("prediction"), F.round("base", 6).alias("base"),
         F.round(total, 6).alias("sum_of_contributions"), (F.sort_array(sizes, asc=False) == sizes).alias("sizes_descend"),
     )
+
+
+_CANDIDATES = [
+    models.ModelSettings(iterations=1, depth=1), models.ModelSettings(iterations=1, depth=2), EXACT, models.ModelSettings(iterations=3, depth=1, step=0.3),
+]
+
+
+@query("m11_halving", """SELECT unnest([1, 1, 1, 1, 2, 2]) AS rung, unnest([true, true, true, true, true, true]) AS before_the_final_window,
+  unnest([false, false, true, false, false, true]) AS exact, unnest([4, 4, 4, 4, 2, 2]) AS fits, unnest([1, 1, 1, 1, 1, 1]) AS origins""")
+def m11(spark, d):
+    """Tuning by halving over two windows before the last one: four fits, then two; only the exact candidate has no error, and wins."""
+    rows = _planted(spark, d).drop("temperature_c")
+    size = dict(horizon=6, step_size=24, required_history=48, require_all=False)
+    final = windows.select_windows(rows, windows=1, **size).agg(F.min("validation_start")).first()[0]
+    older = rows.where(F.col("timestamp_utc") < F.lit(final))
+    found = models.tune_model(rows, windows.select_windows(older, windows=2, **size), final, SHORT, _CANDIDATES, horizon=6, created_at=_now())
+    if found.winner != EXACT:
+        raise AssertionError("the candidate without error did not win")
+    per = found.fits.groupBy("rung").agg(F.count(F.lit(1)).cast("int").alias("fits"), F.count_distinct("origin").cast("int").alias("origins"))
+    early = F.expr("origin + INTERVAL 6 HOURS") < F.lit(final)
+    return found.fits.join(per, "rung").select("rung", early.alias("before_the_final_window"), (F.col("wape") < 1e-9).alias("exact"), "fits", "origins")

@@ -32,6 +32,29 @@ def o2_info(spark, d):
     return reads.page(rows, ["o_orderkey"], limit=25, offset=50, equal={"o_orderstatus": "F"})[1]
 
 
+@query("o2_deep_page", """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber
+LIMIT 40 OFFSET (SELECT count(*) * 9 // 10 FROM lineitem)""")
+def o2_deep(spark, d):
+    """A page nine tenths down a listing, read from the ranges that hold it."""
+    rows = a.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    listing = reads.page_directory(rows, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], rows_per_part=5_000)
+    return listing.page(spark, limit=40, offset=listing.total * 9 // 10)
+
+
+@query("o2_listing_ranges", """
+SELECT count(*) AS total, true AS ranges_keep_all_rows, true AS pages_touch_two_ranges_at_most FROM lineitem""")
+def o2_ranges(spark, d):
+    """A listing's ranges hold every row once, and no page shorter than a range touches more than two."""
+    rows = a.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    listing = reads.page_directory(rows, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], rows_per_part=5_000)
+    shortest = min(n for n in listing.counts if n)
+    touched = max(len(listing.touched(shortest, offset)[0]) for offset in range(0, listing.total, 997))
+    return rows.agg(F.count(F.lit(1)).alias("total")).select(
+        "total", (F.col("total") == listing.total).alias("ranges_keep_all_rows"), F.lit(touched <= 2).alias("pages_touch_two_ranges_at_most")
+    )
+
+
 _COMPLETE = f""",
 n AS (SELECT *, row_number() OVER (PARTITION BY {_SERIES} ORDER BY timestamp_utc) AS n FROM forecasts),
 ok AS (SELECT {_SERIES} FROM n WHERE n <= 12 GROUP BY ALL HAVING count(*) = 12 AND bool_and(timestamp_utc = forecast_origin + n * INTERVAL 1 HOUR)),

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kilohour.functions.intervals import cover, holders, meet
+from kilohour.operators import reads, windows
 from kilohour.operators import rules as rule_module
-from kilohour.operators import windows
 from kilohour.operators.rules import Rules
 from kilohour.operators.runs import Fall, composed, summarise
 from kilohour.series import SeriesSpec
@@ -151,3 +151,26 @@ def test_audit_names_a_gap_of_ten_years(spark):
     assert accepted == [53, 87_660 + 23]
     inside = [r for r in rows if 100 < r["h"] < 87_000]
     assert len(inside) >= 2 * 86_000 and {r["reason"] for r in inside} == {"A:insufficient_contiguous_history:20_missing_hours", "A:incomplete_forecast_horizon:6_missing_hours"}
+
+
+def test_deep_pages_read_two_ranges_at_most(spark):
+    pick = random.Random(9)
+    rows = [(i, pick.choice([None, 1.0, 1.0, 2.5, float(pick.randint(0, 40))])) for i in range(997)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(5)
+    order = [F.desc_nulls_last("v"), "id"]
+    listing = reads.page_directory(df, order, rows_per_part=100)
+    assert listing.total == 997 and sum(n > 0 for n in listing.counts) >= 8
+    want = [r["id"] for r in df.orderBy(*order).collect()]
+    for limit, offset in ((10, 0), (30, 400), (7, 990), (20, 995), (5, 997), (5, 2000), (0, 3), (997, 0)):
+        page = listing.page(spark, limit=limit, offset=offset)
+        assert [r["id"] for r in page.collect()] == want[offset : offset + limit], (limit, offset)
+    last = listing.page(spark, limit=20, offset=970)
+    assert len(listing.touched(20, 970)[0]) <= 2
+    assert len({f.rsplit("_part=", 1)[1].split("/")[0] for f in last.inputFiles()}) <= len(listing.counts)
+    assert "PartitionFilters: [" in last._jdf.queryExecution().toString() and tuple(listing.info(spark, limit=20, offset=990).first()) == (20, 990, 997, 7, False)
+    empty = reads.page_directory(df.limit(0), order)
+    assert empty.total == 0 and empty.page(spark, limit=5).count() == 0
+    with pytest.raises(ValueError):
+        reads.page_directory(df.withColumn("_part", F.lit(1)), order)
+    with pytest.raises(ValueError):
+        listing.page(spark, limit=-1)
