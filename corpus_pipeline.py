@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,30 +14,57 @@ from kilohour.session import configure
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR = minhash.Settings(percent=80)
+REST = "_further_columns"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keeping(stage: Stage) -> Stage:
+    """The stage with any further columns of the documents, whatever their names, carried as one and given back.
+
+    Columns of ``documents`` that are missing stay an error; without further columns nothing changes.
+    """
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        more = [c for c in docs.columns if c not in COLUMNS]
+        if not more:
+            return stage(spark, docs.select(COLUMNS), sf_dir)
+        # fields are named by place, since a name may need quoting in a schema
+        packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(more)])
+        out = stage(spark, docs.select(*COLUMNS, packed.alias(REST)), sf_dir)
+        return out.select(*COLUMNS, *[F.col(REST)[f"c{i}"].alias(c) for i, c in enumerate(more)]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
 
 
+@keeping
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, COLUMNS).where("predicted = 0").select(COLUMNS)
+    return toxicity.score(docs, model, docs.columns).where("predicted = 0").select(docs.columns)
 
 
+@keeping
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; a null text stays null."""
-    kept = line_dedup.drop_lines(docs.select(COLUMNS), line_dedup.indexed(docs))
+    kept = line_dedup.drop_lines(docs, line_dedup.indexed(docs.select("doc_id", "text")))
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return kept.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    now = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return kept.select(*[now.get(c, F.col(c)) for c in docs.columns])
 
 
+@keeping
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id in each group of near copies (similarity 0.8 or more) stays."""
-    gone = minhash.near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(COLUMNS)
+    gone = minhash.near_duplicates(docs.select("doc_id", "text"), NEAR).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
+@keeping
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    return decontam.clean_documents(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from kilohour.llm import bpe, decontam, line_dedup, minhash, toxicity
 from kilohour.llm.common import stored, table
 from test_minhash import corpus, shingles
@@ -38,6 +39,19 @@ def test_stages_on_an_empty_table_and_nulls(spark):
             assert out.count() == len(rows)
 
 
+def test_stages_keep_further_columns_of_any_name(spark):
+    names = ["n_lines", "_drops", "kept_text", "_id", "_hash", "score", "predicted", "a b.c", "text_hash"]
+    docs = table(spark, SF, "documents").limit(40)
+    more = docs.select("*", *[F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")).alias(n) for i, n in enumerate(names)])
+    more = stored(more.select(*reversed(more.columns)))
+    plain = stored(docs)
+    for _, stage in P.STAGES[:-1]:
+        plain, more = stored(stage(spark, plain, SF)), stored(stage(spark, more, SF))
+        assert more.columns == [*reversed(names), *reversed(COLUMNS)]
+        assert sorted(map(tuple, more.select(COLUMNS).collect())) == sorted(map(tuple, plain.collect()))
+        assert all(r[n] == f"{i}:{r['doc_id']}" for r in more.collect() for i, n in enumerate(names))
+
+
 def test_near_dedup_stage_against_all_pairs_at_four_fifths(spark):
     words = [f"w{i}" for i in range(105)]
     near = [*words[:30], "x", *words[31:70], "y", *words[71:]]  # 91 of 111 shingles
@@ -57,5 +71,5 @@ def test_entry_lists_one_query_per_operator():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(re.match(rf"op{n}_", q) for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(re.match(rf"op{n}_", q) for q in names) for n in range(1, 14))
     assert bpe.BYTE_BASE > 0
