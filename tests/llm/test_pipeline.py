@@ -43,7 +43,7 @@ def test_stages_keep_further_columns_of_any_name(spark):
     names = ["n_lines", "_drops", "kept_text", "_id", "_hash", "score", "predicted", "a b.c", "text_hash"]
     docs = table(spark, SF, "documents").limit(40)
     more = docs.select("*", *[F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")).alias(n) for i, n in enumerate(names)])
-    more = stored(more.select(*reversed(more.columns)))
+    more = stored(more.select(*[F.col(f"`{c}`") for c in reversed(more.columns)]))
     plain = stored(docs)
     for _, stage in P.STAGES[:-1]:
         plain, more = stored(stage(spark, plain, SF)), stored(stage(spark, more, SF))
