@@ -11,6 +11,7 @@ from kilohour.operators import alerts, backtest, ensemble, residuals
 from kilohour.operators.events import event, to_events, union_events
 from kilohour.operators.rules import RuleSettings, Rules
 from kilohour.plans import adapters as a
+from kilohour.plans import jobs
 from kilohour.plans.adapters import with_sql
 from kilohour.queries.registry import query
 from kilohour.series import SeriesSpec
@@ -361,6 +362,22 @@ def e1(spark, d):
     return _brief(ensemble.combine(_demand_events(spark, d), _now())).drop("anomaly_id")
 
 
+@query("e2_detection_job", with_sql("hourly", "regional_weather", "renewables") + _RULE_PARTS + """,
+g AS (SELECT region, timestamp_utc, max(score) AS top, count(*) FILTER (severity IN ('warning', 'critical')) AS votes, bool_or(severity = 'critical') AS crit,
+    list(kind ORDER BY severity = 'critical' DESC, score DESC, kind DESC)[1] AS kind FROM ev GROUP BY 1, 2),
+s AS (SELECT *, least(top / 100, 1) * 45 + 2.5::DOUBLE + 20.0::DOUBLE / 3 + 20.0::DOUBLE / 3 + 1 AS sc FROM g)
+SELECT region, timestamp_utc, kind AS anomaly_type, round(score, 6) AS anomaly_score, severity FROM ev
+UNION ALL SELECT region, timestamp_utc, kind, round(sc, 6),
+  CASE WHEN crit THEN 'critical' WHEN sc >= 70 THEN 'critical' WHEN sc >= 30 OR votes >= 2 THEN 'warning' ELSE 'info' END FROM s""")
+def e2(spark, d):
+    """The whole detection job: every rule's events and the combined ones, before alerts are made of them."""
+    made = jobs.detect_and_alert(
+        {"demand_mw": a.hourly_by_type(spark, d)}, start=F.lit("2000-01-01").cast("timestamp"), end=_now(),
+        weather_rows=a.regional_weather(spark, d), renewables=a.renewable_actuals(spark, d), chunk_rows=CHUNK,
+    )
+    return _brief(made.events).drop("anomaly_id")
+
+
 # Events of three detectors on the same hours: the rules, a residual detector and a forest, the latter two by reading counts.
 _DETECTORS_SQL = """,
 ev3 AS (SELECT region, timestamp_utc, 'rules' AS detector, kind, score, severity FROM ev

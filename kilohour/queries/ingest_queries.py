@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kilohour import contracts
@@ -12,6 +15,7 @@ from kilohour.plans import adapters as a
 from kilohour.plans.adapters import with_sql
 from kilohour.queries.registry import query
 from kilohour.series import SeriesSpec
+from kilohour.session import shared_folder
 from kilohour.sources import pages, tables
 
 SMALL = SeriesSpec(chunk_rows=100)
@@ -551,3 +555,34 @@ def x25(spark, d):
     return a.hourly_by_type(spark, d).select(
         "region", "timestamp_utc", time.data_age_band(F.col("timestamp_utc"), now).alias("band")
     )
+
+
+def _folder(spark, what):
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid4().hex}"
+
+
+@query("s9_stored_months", with_sql("hourly") + """
+SELECT region, timestamp_utc, CASE WHEN readings % 3 = 0 THEN demand_mw + 1 ELSE demand_mw END AS demand_mw FROM hourly WHERE readings % 2 = 0 OR readings % 3 = 0""")
+def s9(spark, d):
+    """Two batches merged into a table on disk, months checked, then read back."""
+    rows = a.hourly_by_type(spark, d).select("region", "timestamp_utc", "demand_mw", "readings")
+    path = _folder(spark, "stored-months")
+    first, second = rows.where("readings % 2 = 0"), rows.where("readings % 3 = 0").withColumn("demand_mw", F.col("demand_mw") + 1)
+    for batch in (first, second):
+        tables.upsert_table(spark, path, batch.drop("readings"), ["region", "timestamp_utc"])
+    tables.check_table(spark, path)
+    return tables.read_table(spark, path, rows.drop("readings").schema).select("region", "timestamp_utc", "demand_mw")
+
+
+@query("s20_artifacts", """
+SELECT o_orderpriority, count(*) AS n, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total,
+  CAST(row_number() OVER (ORDER BY sum(CAST(o_totalprice AS DECIMAL(18, 2))) DESC, o_orderpriority) AS INTEGER) AS rank FROM orders GROUP BY o_orderpriority""")
+def s20(spark, d):
+    """Result frames exported as Parquet, a ranking as CSV, and the ranking read again by its schema."""
+    orders = a.table(spark, d, "orders")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    board = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(price).cast("double"), 2).alias("total"))
+    ranked = board.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "o_orderpriority")))
+    path = _folder(spark, "artifacts")
+    tables.export_artifacts(path, frames={"predictions": orders.select("o_orderkey", "o_totalprice")}, tables_csv={"leaderboard": ranked})
+    return tables.read_leaderboard(spark, f"{path}/leaderboard", ranked.schema)

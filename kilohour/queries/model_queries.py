@@ -285,3 +285,25 @@ def m11(spark, d):
     per = found.fits.groupBy("rung").agg(F.count(F.lit(1)).cast("int").alias("fits"), F.count_distinct("origin").cast("int").alias("origins"))
     early = F.expr("origin + INTERVAL 6 HOURS") < F.lit(final)
     return found.fits.join(per, "rung").select("rung", early.alias("before_the_final_window"), (F.col("wape") < 1e-9).alias("exact"), "fits", "origins")
+
+
+_FOREST_COLUMNS = ("demand_mw", "temperature_c", "relative_humidity_pct", "wind_speed_10m_kph", "hour_sin", "hour_cos")
+
+
+@query("d4_top_deviations", a.with_sql("hourly", "regional_weather") + """,
+f AS (SELECT region, timestamp_utc, demand_mw, temperature_c, relative_humidity_pct, wind_speed_10m_kph,
+  sin(2 * pi() * hour(timestamp_utc) / 24) AS hour_sin, cos(2 * pi() * hour(timestamp_utc) / 24) AS hour_cos
+  FROM hourly JOIN regional_weather USING (region, timestamp_utc)
+  WHERE demand_mw IS NOT NULL AND temperature_c IS NOT NULL AND relative_humidity_pct IS NOT NULL AND wind_speed_10m_kph IS NOT NULL),
+flat AS (UNPIVOT f ON """ + ", ".join(_FOREST_COLUMNS) + """ INTO NAME feature VALUE v),
+ref AS (SELECT region, feature, avg(v) AS m, stddev_pop(v) AS sd FROM flat WHERE timestamp_utc < TIMESTAMP '2024-01-20' GROUP BY 1, 2),
+z AS (SELECT region, timestamp_utc, CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0 END AS z FROM flat JOIN ref USING (region, feature) WHERE timestamp_utc >= TIMESTAMP '2024-01-20'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY region, timestamp_utc ORDER BY abs(z) DESC) AS place FROM z)
+SELECT region, timestamp_utc, CAST(place AS INTEGER) AS place, round(abs(z), 6) AS size FROM ranked WHERE place <= 5""")
+def d4_top(spark, d):
+    """The five largest deviations of every scored row, in order."""
+    rows, names = _forest_rows(spark, d)
+    fitted = forest.fit_forest(rows.where("timestamp_utc < '2024-01-20'"), names, forest.ForestSettings(min_training_rows=50))
+    scored = forest.score_forest(fitted, rows.where("timestamp_utc >= '2024-01-20'"), "demand_mw")
+    listed = scored.select("region", "timestamp_utc", F.posexplode("deviations").alias("at", "d"))
+    return listed.select("region", "timestamp_utc", (F.col("at") + 1).alias("place"), F.round("d.size", 6).alias("size"))
