@@ -15,6 +15,7 @@ from kilohour.plans import jobs
 from kilohour.plans.adapters import with_sql
 from kilohour.queries.registry import query
 from kilohour.series import SeriesSpec
+from kilohour.session import cut_lineage
 
 CHUNK = 100
 NOW = "2024-01-31 12:00:00"
@@ -420,42 +421,37 @@ def e1_detectors(spark, d):
     return _brief(ensemble.combine(_three_detectors(spark, d), _now())).drop("anomaly_id")
 
 
-def _change_events(spark, d):
-    rules = _rules()
-    events = rules.row_rules(rules.linked_rows(rules.unique_rows(a.hourly_by_type(spark, d))))
-    return events.where("anomaly_type IN ('unexpected_frequency', 'demand_spike', 'demand_drop')")
-
-
 _ALERTS_SQL = with_sql("hourly", "regional_weather", "renewables") + _RULE_PARTS + """,
-ch AS (SELECT * FROM evid WHERE kind IN ('unexpected_frequency', 'demand_spike', 'demand_drop')),
+ch AS (SELECT * FROM evid),
 brk AS (SELECT *, CASE WHEN timestamp_utc - lag(timestamp_utc) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ch
   WINDOW w AS (PARTITION BY region, kind ORDER BY timestamp_utc, anomaly_id)),
 isl AS (SELECT *, sum(new) OVER (PARTITION BY region, kind ORDER BY timestamp_utc, anomaly_id) AS island FROM brk),
 al AS (SELECT region, kind AS anomaly_type, min(timestamp_utc) AS first_seen_utc, max(timestamp_utc) AS last_seen_utc, count(*) AS occurrence_count,
-    arg_max(anomaly_id, timestamp_utc) AS latest_anomaly_id, max(severity) AS severity FROM isl GROUP BY region, kind, island)
+    arg_max(anomaly_id, timestamp_utc) AS latest_anomaly_id,
+    ['info', 'warning', 'critical'][max(CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END)] AS severity FROM isl GROUP BY region, kind, island)
 """
 
 
 @query("e3_alert_deduplication", _ALERTS_SQL + """
 SELECT substring(sha256(region || '|demand_mw|' || anomaly_type || '|' || strftime(first_seen_utc, '%Y-%m-%dT%H:%M:%SZ')), 1, 32) AS alert_id,
   region, anomaly_type, severity, 'open' AS status, first_seen_utc, last_seen_utc, occurrence_count, latest_anomaly_id,
-  'Warning ' || replace(anomaly_type, '_', ' ') || ' in ' || region AS title FROM al""")
+  upper(severity[1]) || severity[2:] || ' ' || replace(anomaly_type, '_', ' ') || ' in ' || region AS title FROM al""")
 def e3(spark, d):
     """Alerts of an empty state: islands of events at most six hours apart."""
-    batch = alerts.process_events(_change_events(spark, d), chunk_hours=48)
+    batch = alerts.process_events(_demand_events(spark, d), chunk_hours=48)
     return batch.alerts.select(
         "alert_id", "region", "anomaly_type", "severity", "status", "first_seen_utc", "last_seen_utc",
         "occurrence_count", "latest_anomaly_id", "title",
     )
 
 
-@query("e3_alert_escalation", _ALERTS_SQL.replace("SELECT * FROM evid WHERE kind IN", "SELECT * REPLACE (['info', 'warning', 'critical'][hour(timestamp_utc) % 3 + 1] AS severity) FROM evid WHERE kind IN").replace("max(severity) AS severity FROM isl", "['info', 'warning', 'critical'][max(CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END)] AS severity FROM isl") + """
+@query("e3_alert_escalation", _ALERTS_SQL.replace("SELECT * FROM evid", "SELECT * REPLACE (['info', 'warning', 'critical'][hour(timestamp_utc) % 3 + 1] AS severity) FROM evid") + """
 SELECT region, anomaly_type, severity, first_seen_utc, last_seen_utc, occurrence_count,
   upper(severity[1]) || severity[2:] || ' ' || replace(anomaly_type, '_', ' ') || ' in ' || region AS title FROM al""")
 def e3_escalation(spark, d):
     """Alerts take the highest severity of their events, from info over warning to critical."""
     level = F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("critical")), (F.hour("timestamp_utc") % 3 + 1).cast("int"))
-    batch = alerts.process_events(_change_events(spark, d).withColumn("severity", level), chunk_hours=48)
+    batch = alerts.process_events(_demand_events(spark, d).withColumn("severity", level), chunk_hours=48)
     return batch.alerts.select("region", "anomaly_type", "severity", "first_seen_utc", "last_seen_utc", "occurrence_count", "title")
 
 
@@ -464,7 +460,7 @@ SELECT region, anomaly_type, first_seen_utc, last_seen_utc, occurrence_count, la
 WHERE last_seen_utc > TIMESTAMP '2024-01-15 12:00:00'""")
 def e3_second(spark, d):
     """A second batch on stored state ends where one batch would have ended."""
-    events = _change_events(spark, d)
+    events = _demand_events(spark, d)
     early = alerts.process_events(events.where("timestamp_utc <= '2024-01-15 12:00:00'"), chunk_hours=48)
     batch = alerts.process_events(events, early.alerts, early.history, chunk_hours=48)
     return batch.alerts.select(
@@ -477,7 +473,7 @@ SELECT region || '|' || kind AS series, CASE WHEN new = 1 THEN 'opened' ELSE 'oc
   count(*) AS distinct_ids FROM isl GROUP BY 1, 2""")
 def e3_history(spark, d):
     """One history row per event, each with an id of its own."""
-    events = _change_events(spark, d)
+    events = _demand_events(spark, d)
     batch = alerts.process_events(events, chunk_hours=48)
     named = batch.history.join(events.select("anomaly_id", "region", "anomaly_type"), "anomaly_id")
     return named.groupBy(F.concat_ws("|", "region", "anomaly_type").alias("series"), "change_reason").agg(
@@ -491,7 +487,7 @@ SELECT region, anomaly_type, first_seen_utc, CASE WHEN occurrence_count % 3 = 0
   CASE WHEN occurrence_count % 3 <> 0 THEN TIMESTAMP '2024-01-31 12:00:00' END AS resolved_at_utc
 FROM al WHERE occurrence_count % 3 < 2""")
 def e4(spark, d):
-    state = alerts.process_events(_change_events(spark, d), chunk_hours=48).alerts
+    state = alerts.process_events(_demand_events(spark, d), chunk_hours=48).alerts
     wanted = F.when(F.col("occurrence_count") % 3 == 0, "acknowledged").when(F.col("occurrence_count") % 3 == 1, "resolved").otherwise("open")
     moves = state.select("alert_id", wanted.alias("new_status"), _now().alias("at"))
     return alerts.change_status(state, moves).alerts.select(
@@ -502,24 +498,36 @@ def e4(spark, d):
 @query("e5_auto_resolve", _ALERTS_SQL + """
 SELECT region, anomaly_type, first_seen_utc, 'resolved' AS status FROM al WHERE TIMESTAMP '2024-01-31 12:00:00' - last_seen_utc >= INTERVAL 24 HOUR""")
 def e5(spark, d):
-    state = alerts.process_events(_change_events(spark, d), chunk_hours=48).alerts
+    state = alerts.process_events(_demand_events(spark, d), chunk_hours=48).alerts
     return alerts.auto_resolve(state, _now()).alerts.select("region", "anomaly_type", "first_seen_utc", "status")
 
 
-@query("p12_alert_contract", """
-SELECT unnest(['first_seen_utc_present', 'last_seen_utc_present', 'created_at_utc_present', 'updated_at_utc_present', 'status_known',
-  'severity_known', 'occurrence_positive', 'metadata_json_json', 'unique_key']) AS "check", 0::BIGINT AS failures""")
+@query("p12_alert_contract", _ALERTS_SQL + """
+SELECT unnest(['last_seen_utc_present', 'created_at_utc_present', 'updated_at_utc_present', 'metadata_json_json', 'unique_key']) AS "check", 0::BIGINT AS failures
+UNION ALL SELECT 'status_known', count(*) FROM al WHERE occurrence_count % 3 = 1
+UNION ALL SELECT 'severity_known', count(*) FROM al WHERE severity = 'critical'
+UNION ALL SELECT 'occurrence_positive', count(*) FROM al WHERE anomaly_type = 'missing_timestamp'
+UNION ALL SELECT 'first_seen_utc_present', count(*) FROM al WHERE occurrence_count = 1""")
 def p12(spark, d):
+    """Alert contract over all alerts, with bad status, severity, count and time planted in rows that the SQL names."""
     from kilohour.contracts import alerts as contract
 
-    return contract().violations(alerts.process_events(_change_events(spark, d), chunk_hours=48).alerts)
+    state = cut_lineage(alerts.process_events(_demand_events(spark, d), chunk_hours=48).alerts)
+    n = F.col("occurrence_count")
+    bad = state.withColumns({
+        "status": F.when(n % 3 == 1, "lost").otherwise(F.col("status")),
+        "severity": F.when(F.col("severity") == "critical", "fatal").otherwise(F.col("severity")),
+        "occurrence_count": F.when(F.col("anomaly_type") == "missing_timestamp", 0).otherwise(n),
+        "first_seen_utc": F.when(n > 1, F.col("first_seen_utc")),
+    })
+    return contract().violations(bad)
 
 
 @query("o6_alert_detail", _ALERTS_SQL + """
 SELECT region, kind AS anomaly_type, min(timestamp_utc) AS first_seen_utc, list(anomaly_id ORDER BY timestamp_utc, anomaly_id) AS steps FROM isl GROUP BY region, kind, island""")
 def o6(spark, d):
     """Alerts with their ordered history; detection time is set to the event time here."""
-    events = _change_events(spark, d).withColumn("detected_at_utc", F.col("timestamp_utc"))
+    events = _demand_events(spark, d).withColumn("detected_at_utc", F.col("timestamp_utc"))
     batch = alerts.process_events(events, chunk_hours=48)
     out = alerts.alert_detail(batch.alerts, batch.history)
     return out.select("region", "anomaly_type", "first_seen_utc", F.transform("history", lambda h: h["anomaly_id"]).alias("steps"))
