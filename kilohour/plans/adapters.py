@@ -182,15 +182,15 @@ def forecasts(spark: SparkSession, sf_dir: str, target: str = "demand_mw") -> Da
 
 
 def dispatch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dispatch schedules: one run per event type, arithmetic over its hourly series."""
+    """Dispatch schedules: one run per battery of the fleet, arithmetic over the hourly series of its region."""
     d, n = F.col("demand_mw"), F.col("readings")
     charge = F.when(n % 3 == 0, n * 2.0).otherwise(0.0)
     discharge = F.when(n % 3 == 1, n * 1.5).otherwise(0.0)
     return (
         hourly_by_type(spark, sf_dir)
+        .join(batteries(spark, sf_dir).select("region", "battery_id"), "region")
         .select(
-            F.concat(F.lit("run-"), F.col("region")).alias("dispatch_run_id"), "region",
-            F.lit("b1").alias("battery_id"),
+            F.concat(F.lit("run-"), F.col("battery_id")).alias("dispatch_run_id"), "region", "battery_id",
             F.lit("2024-01-01").cast("timestamp").alias("forecast_origin"), "timestamp_utc",
             d.alias("demand_forecast_mw"), (d * 0.25).alias("renewable_forecast_mw"),
             (d * 0.75).alias("net_load_before_battery_mw"),
@@ -319,7 +319,7 @@ inputs AS (SELECT h.region, h.forecast_origin, h.forecast_origin + s * INTERVAL
   LEFT JOIN tf ON tf.region = h.region AND tf.forecast_origin = h.forecast_origin AND tf.timestamp_utc = h.forecast_origin + s * INTERVAL 1 HOUR
   GROUP BY 1, 2, 3, 4)""",
     "dispatch": """
-dispatch AS (SELECT 'run-' || region AS dispatch_run_id, region, timestamp_utc, demand_mw AS demand_forecast_mw,
+dispatch AS (SELECT 'run-' || battery_id AS dispatch_run_id, region, battery_id, cap, timestamp_utc, demand_mw AS demand_forecast_mw,
     demand_mw * 0.25 AS renewable_forecast_mw, demand_mw * 0.75 AS net_load_before_battery_mw,
     CASE WHEN readings % 3 = 0 THEN readings * 2.0::DOUBLE ELSE 0.0::DOUBLE END AS charge_mw,
     CASE WHEN readings % 3 = 1 THEN readings * 1.5::DOUBLE ELSE 0.0::DOUBLE END AS discharge_mw,
@@ -328,7 +328,7 @@ dispatch AS (SELECT 'run-' || region AS dispatch_run_id, region, timestamp_utc,
     demand_mw * 0.75 + CASE WHEN readings % 3 = 0 THEN readings * 2.0::DOUBLE ELSE 0.0::DOUBLE END
       - CASE WHEN readings % 3 = 1 THEN readings * 1.5::DOUBLE ELSE 0.0::DOUBLE END AS net_load_after_battery_mw,
     20.0::DOUBLE + hour(timestamp_utc) AS energy_price, 2.0::DOUBLE AS marginal_degradation_cost
-  FROM hourly)""",
+  FROM hourly JOIN batteries USING (region))""",
 }
 
 

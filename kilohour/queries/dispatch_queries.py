@@ -17,15 +17,6 @@ def _now():
     return F.lit(NOW).cast("timestamp")
 
 
-def _fleet_for_points(spark, d):
-    """One battery ``b1`` with fixed limits, as a row per supplier table."""
-    return a.batteries(spark, d).where("battery_id = 'b1'").drop("region")
-
-
-# Numbers of battery b1 of the fleet adapter: capacity 41.
-_B1 = "41.0::DOUBLE"
-
-
 def _round(df, keep=(), digits=6):
     return df.select(*[F.col(c) if c in keep or t not in ("double",) else F.round(F.col(c) + 1e-9, digits).alias(c) for c, t in df.dtypes])
 
@@ -153,7 +144,7 @@ def j13(spark, d):
     return out.select("region", "forecast_origin", "timestamp_utc", "demand_forecast_mw", "renewable_forecast_mw", flag.alias("oracle"))
 
 
-@query("j14_realised_actions", with_sql("hourly", "renewables", "dispatch") + _ACT_SQL + """
+@query("j14_realised_actions", with_sql("hourly", "renewables", "batteries", "dispatch") + _ACT_SQL + """
 SELECT dispatch_run_id, timestamp_utc, d AS demand_forecast_mw, round(d - r + charge_mw - discharge_mw + 1e-9, 6) AS net_load_after_battery_mw,
   demand_forecast_mw AS planned FROM dispatch LEFT JOIN act USING (region, timestamp_utc)""")
 def j14(spark, d):
@@ -168,28 +159,28 @@ def j14(spark, d):
     )
 
 
-@query("b3_physics_audit", with_sql("hourly", "dispatch") + f""",
-s AS (SELECT *, coalesce(lag(soc_end_mwh) OVER (PARTITION BY dispatch_run_id ORDER BY timestamp_utc), {_B1} * 0.5) AS expected FROM dispatch),
-p AS (SELECT *, (charge_mw > {_B1} / 8 + 1e-5)::INT + (discharge_mw > {_B1} / 10 + 1e-5)::INT + (charge_mw > 1e-5 AND discharge_mw > 1e-5)::INT AS pw,
-  (soc_end_mwh < {_B1} * 0.1 - 1e-5)::INT + (soc_end_mwh > {_B1} * 0.95 + 1e-5)::INT AS lv,
+@query("b3_physics_audit", with_sql("hourly", "batteries", "dispatch") + """,
+s AS (SELECT *, coalesce(lag(soc_end_mwh) OVER (PARTITION BY dispatch_run_id ORDER BY timestamp_utc), cap * 0.5) AS expected FROM dispatch),
+p AS (SELECT *, (charge_mw > cap / 8 + 1e-5)::INT + (discharge_mw > cap / 10 + 1e-5)::INT + (charge_mw > 1e-5 AND discharge_mw > 1e-5)::INT AS pw,
+  (soc_end_mwh < cap * 0.1 - 1e-5)::INT + (soc_end_mwh > cap * 0.95 + 1e-5)::INT AS lv,
   (abs(soc_start_mwh - expected) > 1e-5)::INT + (abs(soc_end_mwh - (expected * 0.99 + charge_mw * 0.9 - discharge_mw / 0.8)) > 1e-5)::INT AS ch FROM s),
-dd AS (SELECT dispatch_run_id, CAST(timestamp_utc AS DATE) AS day, sum(charge_mw + discharge_mw) AS thr FROM p GROUP BY 1, 2),
+dd AS (SELECT dispatch_run_id, CAST(timestamp_utc AS DATE) AS day, sum(charge_mw + discharge_mw) / (2 * max(cap)) AS cycles FROM p GROUP BY 1, 2),
 t AS (SELECT dispatch_run_id, CAST(sum(pw) AS BIGINT) AS power_violations, CAST(sum(lv) AS BIGINT) AS soc_violations, CAST(sum(ch) AS BIGINT) AS continuity_violations,
-  abs(arg_max(soc_end_mwh, timestamp_utc) - {_B1} * 0.5) AS dev, sum(charge_mw + discharge_mw) AS thr FROM p GROUP BY 1)
+  abs(arg_max(soc_end_mwh, timestamp_utc) - max(cap) * 0.5) AS dev, sum(charge_mw + discharge_mw) AS thr, max(cap) AS cap FROM p GROUP BY 1)
 SELECT t.dispatch_run_id, power_violations, soc_violations, continuity_violations,
-  (SELECT count(*) FROM dd WHERE dd.dispatch_run_id = t.dispatch_run_id AND dd.thr / (2 * {_B1}) > 1.5 + 1e-5) AS cycle_violations,
-  round(dev + 1e-9, 6) AS terminal_soc_deviation_mwh, round(thr + 1e-9, 6) AS throughput_mwh, round(thr / (2 * {_B1}) + 1e-9, 6) AS equivalent_full_cycles,
+  (SELECT count(*) FROM dd WHERE dd.dispatch_run_id = t.dispatch_run_id AND dd.cycles > 1.5 + 1e-5) AS cycle_violations,
+  round(dev + 1e-9, 6) AS terminal_soc_deviation_mwh, round(thr + 1e-9, 6) AS throughput_mwh, round(thr / (2 * cap) + 1e-9, 6) AS equivalent_full_cycles,
   (dev > 1e-5)::BIGINT AS terminal_violations, false AS valid FROM t""")
 def b3(spark, d):
     """Physics audit per run."""
-    return _round(ops.physics_audit(a.dispatch_points(spark, d), _fleet_for_points(spark, d), chunk_rows=100))
+    return _round(ops.physics_audit(a.dispatch_points(spark, d), a.batteries(spark, d), chunk_rows=100))
 
 
-@query("a23_daily_throughput", with_sql("hourly", "dispatch") + f"""
-SELECT dispatch_run_id, 'b1' AS battery_id, CAST(timestamp_utc AS DATE) AS day, round(sum(charge_mw + discharge_mw) + 1e-9, 6) AS throughput_mwh,
-  round(sum(charge_mw + discharge_mw) / (2 * {_B1}) + 1e-9, 6) AS equivalent_cycles FROM dispatch GROUP BY 1, 3""")
+@query("a23_daily_throughput", with_sql("hourly", "batteries", "dispatch") + """
+SELECT dispatch_run_id, battery_id, CAST(timestamp_utc AS DATE) AS day, round(sum(charge_mw + discharge_mw) + 1e-9, 6) AS throughput_mwh,
+  round(sum(charge_mw + discharge_mw) / (2 * max(cap)) + 1e-9, 6) AS equivalent_cycles FROM dispatch GROUP BY 1, 2, 3""")
 def a23(spark, d):
-    return _round(ops.daily_throughput(a.dispatch_points(spark, d), _fleet_for_points(spark, d)))
+    return _round(ops.daily_throughput(a.dispatch_points(spark, d), a.batteries(spark, d)))
 
 
 def _kpi_sql(by: str) -> str:
@@ -203,10 +194,10 @@ SELECT {by}, round(max(net_load_before_battery_mw) + 1e-9, 5) AS original_peak_l
   round(sum(charge_mw * least(greatest(renewable_forecast_mw / greatest(demand_forecast_mw, 1e-12), 0), 1)) + 1e-9, 5) AS renewable_energy_charged_mwh,
   round(sum(charge_mw) + 1e-9, 5) AS charge_energy_mwh, round(sum(discharge_mw) + 1e-9, 5) AS discharge_energy_mwh,
   round(greatest(0, sum(charge_mw) - sum(charge_mw) * 0.9 + sum(discharge_mw) / 0.8 - sum(discharge_mw)) + sum(soc_start_mwh * (1 - 0.99)) + 1e-7, 5) AS battery_losses_mwh,
-  round((sum(charge_mw) + sum(discharge_mw)) / (2 * {_B1}) + 1e-9, 5) AS equivalent_full_cycles, round(sum(charge_mw) + sum(discharge_mw) + 1e-9, 5) AS total_throughput_mwh,
-  round((sum(charge_mw) + sum(discharge_mw)) * 2 + 1e-9, 5) AS degradation_cost, round(abs(arg_max(soc_end_mwh, timestamp_utc) - {_B1} * 0.5) + 1e-9, 5) AS terminal_soc_deviation_mwh,
-  count(*) FILTER (soc_end_mwh < {_B1} * 0.1 - 1e-5 OR soc_end_mwh > {_B1} * 0.95 + 1e-5) AS soc_violations,
-  count(*) FILTER (charge_mw > {_B1} / 8 + 1e-5 OR discharge_mw > {_B1} / 10 + 1e-5) AS power_violations"""
+  round((sum(charge_mw) + sum(discharge_mw)) / (2 * max(cap)) + 1e-9, 5) AS equivalent_full_cycles, round(sum(charge_mw) + sum(discharge_mw) + 1e-9, 5) AS total_throughput_mwh,
+  round((sum(charge_mw) + sum(discharge_mw)) * 2 + 1e-9, 5) AS degradation_cost, round(abs(arg_max(soc_end_mwh, timestamp_utc) - max(cap) * 0.5) + 1e-9, 5) AS terminal_soc_deviation_mwh,
+  count(*) FILTER (soc_end_mwh < cap * 0.1 - 1e-5 OR soc_end_mwh > cap * 0.95 + 1e-5) AS soc_violations,
+  count(*) FILTER (charge_mw > cap / 8 + 1e-5 OR discharge_mw > cap / 10 + 1e-5) AS power_violations"""
 
 
 def _kpi(df):
@@ -218,30 +209,30 @@ def _kpi(df):
     return df.select(*out)
 
 
-@query("a19_dispatch_kpis", with_sql("hourly", "dispatch") + _kpi_sql("dispatch_run_id") + " FROM dispatch GROUP BY 1")
+@query("a19_dispatch_kpis", with_sql("hourly", "batteries", "dispatch") + _kpi_sql("dispatch_run_id") + " FROM dispatch GROUP BY 1")
 def a19(spark, d):
     """Eighteen key figures per run."""
-    return _kpi(ops.evaluate_dispatch(a.dispatch_points(spark, d), _fleet_for_points(spark, d)))
+    return _kpi(ops.evaluate_dispatch(a.dispatch_points(spark, d), a.batteries(spark, d)))
 
 
-@query("a20_daily_kpis", with_sql("hourly", "dispatch") + _kpi_sql("dispatch_run_id, strftime(timestamp_utc, '%Y-%m-%d') AS day_utc") + " FROM dispatch GROUP BY 1, 2")
+@query("a20_daily_kpis", with_sql("hourly", "batteries", "dispatch") + _kpi_sql("dispatch_run_id, strftime(timestamp_utc, '%Y-%m-%d') AS day_utc") + " FROM dispatch GROUP BY 1, 2")
 def a20(spark, d):
-    return _kpi(ops.daily_metrics(a.dispatch_points(spark, d), _fleet_for_points(spark, d), ["dispatch_run_id"]))
+    return _kpi(ops.daily_metrics(a.dispatch_points(spark, d), a.batteries(spark, d), ["dispatch_run_id"]))
 
 
-@query("a20_strategy_comparison", with_sql("hourly", "dispatch") + """,
+@query("a20_strategy_comparison", with_sql("hourly", "batteries", "dispatch") + """,
 u AS (SELECT * REPLACE (net_load_before_battery_mw AS net_load_after_battery_mw, 0.0::DOUBLE AS charge_mw, 0.0::DOUBLE AS discharge_mw), 'no_battery' AS strategy FROM dispatch
-  UNION ALL SELECT *, 'rule_based' FROM dispatch)""" + _kpi_sql("region, strategy") + " FROM u GROUP BY 1, 2")
+  UNION ALL SELECT *, 'rule_based' FROM dispatch)""" + _kpi_sql("dispatch_run_id, strategy") + " FROM u GROUP BY 1, 2")
 def a20_strategies(spark, d):
     points = a.dispatch_points(spark, d)
     idle = points.withColumns(
         {"net_load_after_battery_mw": F.col("net_load_before_battery_mw"), "charge_mw": F.lit(0.0), "discharge_mw": F.lit(0.0)}
     )
     schedules = {"no_battery": idle, "rule_based": points}
-    return _kpi(ops.compare_strategies(schedules, _fleet_for_points(spark, d), ["region"]))
+    return _kpi(ops.compare_strategies(schedules, a.batteries(spark, d), ["dispatch_run_id"]))
 
 
-@query("a21_metric_rows", with_sql("hourly", "dispatch") + """
+@query("a21_metric_rows", with_sql("hourly", "batteries", "dispatch") + """
 SELECT * FROM (UNPIVOT (SELECT dispatch_run_id, round(max(net_load_before_battery_mw) + 1e-9, 6) AS peak_before_mw, round(max(net_load_after_battery_mw) + 1e-9, 6) AS peak_after_mw,
   round(sum(charge_mw) + 1e-9, 6) AS total_charge_mwh, round(sum(discharge_mw) + 1e-9, 6) AS total_discharge_mwh FROM dispatch GROUP BY 1)
   ON peak_before_mw, peak_after_mw, total_charge_mwh, total_discharge_mwh INTO NAME metric_name VALUE metric_value)""")
@@ -250,22 +241,22 @@ def a21(spark, d):
     return ops.metric_rows(heads, ["dispatch_run_id"])
 
 
-@query("a36_run_headers", with_sql("hourly", "dispatch") + """
-SELECT dispatch_run_id, region, 'b1' AS battery_id, round(max(net_load_before_battery_mw) + 1e-9, 6) AS peak_before_mw, round(max(net_load_after_battery_mw) + 1e-9, 6) AS peak_after_mw,
-  round(sum(charge_mw) + 1e-9, 6) AS total_charge_mwh, round(sum(discharge_mw) + 1e-9, 6) AS total_discharge_mwh FROM dispatch GROUP BY 1, 2""")
+@query("a36_run_headers", with_sql("hourly", "batteries", "dispatch") + """
+SELECT dispatch_run_id, region, battery_id, round(max(net_load_before_battery_mw) + 1e-9, 6) AS peak_before_mw, round(max(net_load_after_battery_mw) + 1e-9, 6) AS peak_after_mw,
+  round(sum(charge_mw) + 1e-9, 6) AS total_charge_mwh, round(sum(discharge_mw) + 1e-9, 6) AS total_discharge_mwh FROM dispatch GROUP BY 1, 2, 3""")
 def a36(spark, d):
     return _round(ops.run_headers(a.dispatch_points(spark, d)))
 
 
-@query("a22_objective_breakdown", with_sql("hourly", "dispatch") + f""",
+@query("a22_objective_breakdown", with_sql("hourly", "batteries", "dispatch") + """,
 t AS (SELECT dispatch_run_id, max(net_load_after_battery_mw) AS p, sum(net_load_after_battery_mw * energy_price) AS c,
   sum(charge_mw * least(greatest(renewable_forecast_mw / greatest(demand_forecast_mw, 1e-12), 0), 1)) AS r, sum((charge_mw + discharge_mw) * 2) AS g,
-  abs(arg_max(soc_end_mwh, timestamp_utc) - {_B1} * 0.5) AS s FROM dispatch GROUP BY 1)
+  abs(arg_max(soc_end_mwh, timestamp_utc) - max(cap) * 0.5) AS s FROM dispatch GROUP BY 1)
 SELECT dispatch_run_id, round(p + 1e-9, 4) AS peak_load_mw, round(c + 1e-9, 4) AS energy_cost, round(r + 1e-9, 4) AS renewable_aligned_charge_mwh, round(g + 1e-9, 4) AS degradation_cost,
   round(s + 1e-9, 4) AS terminal_soc_deviation_mwh, round(p + 1e-9, 4) AS weighted_peak_contribution, round(c + 1e-9, 4) AS weighted_energy_cost_contribution,
   round(-0.5 * r + 1e-9, 4) AS weighted_renewable_utilization_contribution, round(g + 1e-9, 4) AS weighted_degradation_contribution, round(10 * s + 1e-9, 4) AS weighted_terminal_soc_contribution FROM t""")
 def a22(spark, d):
-    return _round(ops.objective_breakdown(a.dispatch_points(spark, d), _fleet_for_points(spark, d)), digits=4)
+    return _round(ops.objective_breakdown(a.dispatch_points(spark, d), a.batteries(spark, d)), digits=4)
 
 
 def _millionths(column: str) -> str:

@@ -146,7 +146,7 @@ def a28(spark, d):
     return reads.detector_agreement(rows)
 
 
-@query("a29_dispatch_summary", with_sql("hourly", "dispatch") + """
+@query("a29_dispatch_summary", with_sql("hourly", "batteries", "dispatch") + """
 SELECT dispatch_run_id, round(max(net_load_before_battery_mw) - max(net_load_after_battery_mw) + 1e-9, 6) AS peak_reduction_mw, min(soc_start_mwh) AS minimum_soc_mwh, max(soc_end_mwh) AS maximum_soc_mwh,
   round(sum(charge_mw + discharge_mw) * 0.5 + 1e-9, 6) AS total_throughput_mwh, round(sum(charge_mw + discharge_mw) * 0.5 / 160 + 1e-9, 6) AS equivalent_cycles FROM dispatch GROUP BY 1""")
 def a29(spark, d):
