@@ -163,11 +163,16 @@ def _islands(linked: DataFrame, alerts: DataFrame | None) -> DataFrame:
     return named.join(earlier, "alert_id", "left")
 
 
+def without_state(rows: DataFrame) -> DataFrame:
+    """Rows of alerts that were not stored before, as ``state_after`` reads them."""
+    return rows.withColumn("_base", F.lit(None).cast(_base_type()))
+
+
 def _base_rank() -> Column:
     return F.when(F.col("_base").isNull(), -1).otherwise(severity_rank(F.col("_base.severity")))
 
 
-def _state_after(rank: Column, at: Column, count: Column, latest: Column, summary: Column) -> dict[str, Column]:
+def state_after(rank: Column, at: Column, count: Column, latest: Column, summary: Column) -> dict[str, Column]:
     """Alert state once some of the island's events are in."""
     raised = rank > _base_rank()
     base = F.col("_base")
@@ -192,7 +197,7 @@ def _state_after(rank: Column, at: Column, count: Column, latest: Column, summar
 
 def _changed_alerts(islands: DataFrame) -> DataFrame:
     last = F.col("_last")
-    state = _state_after(F.col("_top"), last["_at"], F.col("_events"), last["anomaly_id"], last["explanation"])
+    state = state_after(F.col("_top"), last["_at"], F.col("_events"), last["anomaly_id"], last["explanation"])
     rows = islands.select(
         "alert_id", *KEY, *[c.alias(n) for n, c in state.items()],
         F.coalesce(F.col("_base.created_at_utc"), F.col("_first.detected_at_utc")).alias("created_at_utc"),
@@ -216,8 +221,8 @@ def _steps(linked: DataFrame, islands: DataFrame) -> DataFrame:
         reached = F.when(n >= F.col("_critical_n"), 2).when(n >= F.col("_warning_n"), 1).otherwise(0)
         return F.greatest(reached, _base_rank())
 
-    after = _state_after(rank_at(F.col("_n")), F.col("_at"), place, F.col("anomaly_id"), F.col("explanation"))
-    before = _state_after(
+    after = state_after(rank_at(F.col("_n")), F.col("_at"), place, F.col("anomaly_id"), F.col("explanation"))
+    before = state_after(
         rank_at(F.col("_n") - 1), F.col("_prev_at"), place - 1, F.col("_prev_id"), F.col("_prev_text")
     )
     is_first = place == 1

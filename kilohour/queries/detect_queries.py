@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kilohour.contracts import anomaly_events
@@ -15,7 +17,8 @@ from kilohour.plans import jobs
 from kilohour.plans.adapters import with_sql
 from kilohour.queries.registry import query
 from kilohour.series import SeriesSpec
-from kilohour.session import cut_lineage
+from kilohour.session import cut_lineage, shared_folder
+from kilohour.streaming.keyed import alerts_of, keyed_alert_stream
 
 CHUNK = 100
 NOW = "2024-01-31 12:00:00"
@@ -481,6 +484,24 @@ def e3_history(spark, d):
     )
 
 
+@query("e3_alert_stream", _ALERTS_SQL.replace("SELECT * FROM evid", "SELECT * FROM evid WHERE timestamp_utc <= (SELECT max(timestamp_utc) - INTERVAL 2 HOUR FROM evid)") + """
+SELECT region, anomaly_type, severity, first_seen_utc, last_seen_utc, occurrence_count, latest_anomaly_id,
+  CASE WHEN idle THEN 'resolved' ELSE 'open' END AS status, CASE WHEN idle THEN last_seen_utc + INTERVAL 24 HOUR END AS resolved_at_utc
+FROM (SELECT *, (SELECT max(timestamp_utc) - INTERVAL 2 HOUR FROM evid) - last_seen_utc >= INTERVAL 24 HOUR AS idle FROM al)""")
+def e3_stream(spark, d):
+    """Alerts from keyed stream state after three micro-batches, idle ones resolved by timers (also E5)."""
+    folder = f"{shared_folder(spark)}/kilohour-{uuid.uuid4().hex}"
+    events = cut_lineage(_demand_events(spark, d))
+    borders = [F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")]
+    at = F.col("timestamp_utc")
+    for part in (at < borders[0], (at >= borders[0]) & (at < borders[1]), at >= borders[1]):
+        events.where(part).write.mode("append").parquet(f"{folder}/events")
+        keyed_alert_stream(spark, f"{folder}/events", events.schema, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return alerts_of(spark.read.parquet(f"{folder}/log")).select(
+        "region", "anomaly_type", "severity", "first_seen_utc", "last_seen_utc", "occurrence_count", "latest_anomaly_id", "status", "resolved_at_utc"
+    )
+
+
 @query("e4_status_changes", _ALERTS_SQL + """
 SELECT region, anomaly_type, first_seen_utc, CASE WHEN occurrence_count % 3 = 0 THEN 'acknowledged' ELSE 'resolved' END AS status,
   CASE WHEN occurrence_count % 3 = 0 THEN TIMESTAMP '2024-01-31 12:00:00' END AS acknowledged_at_utc,
