@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -47,6 +47,30 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def unmade(columns: list[str], made: Iterable[str]) -> list[str]:
+    """The columns but those with a name that an operator makes: the made ones replace them, whatever their case."""
+    names = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in names]
+
+
+def free(name: str, columns: Iterable[str]) -> str:
+    """The name, lengthened until no column has it."""
+    names = {c.lower() for c in columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark reads it in a select or a schema, dots and quotes included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def placed(columns: list[str]) -> list[Column]:
+    """The columns named by place, c0 and on: Spark cannot hand names with dots or quotes to Arrow tasks."""
+    return [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)]
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """Texts as UTF-8 bytes, whether or not they decode."""
     return column.cast(pa.binary()).to_pylist()

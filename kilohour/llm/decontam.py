@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilohour.llm.common import stored
+from kilohour.llm.common import free, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,6 +106,7 @@ def judged(docs: DataFrame, items: DataFrame, settings: Settings | None = None)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The rows that are not contaminated, with all their columns."""
-    bad = judged(docs, items, settings).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    """The rows that are not contaminated, with all their columns, whatever their names."""
+    name, print_ = free("_id", docs.columns), free("_hash", docs.columns)
+    bad = judged(docs, items, settings).where("contaminated").select(F.col("doc_id").alias(name), F.col("text_hash").alias(print_)).distinct()
+    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(print_)), "left_anti")

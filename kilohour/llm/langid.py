@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilohour.llm.common import decoded, held_out, sized_batches
+from kilohour.llm.common import decoded, held_out, placed, quoted, sized_batches, unmade
 from kilohour.llm.ngrams import buckets
 
 # First and last code point of the ranges of scripts, in the order of the code charts.
@@ -240,49 +240,54 @@ def _labelled(texts: list[str], model: Model) -> tuple[Words, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns with lang_pred, and score: the share of the text's letters that carry that label."""
+    """The kept columns with lang_pred, and score: the share of the text's letters that carry that label.
+
+    Kept columns of these names are replaced.
+    """
     given = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages
-    extra = [] if text in keep else [text]
-    source = docs.select(*keep, *extra)
+    keep = unmade(keep, ("lang_pred", "score"))
+    given_columns = keep if text in keep else [*keep, text]
+    source, body = docs.select(placed(given_columns)), f"c{given_columns.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given.value
         names = np.array([*model.languages, UNKNOWN], object)
-        for batch in sized_batches(batches, text, 2 << 20):
+        for batch in sized_batches(batches, body, 2 << 20):
             n, width = batch.num_rows, max(1, len(model.languages))
-            words, label = _labelled(decoded(batch.column(text)), model)
+            words, label = _labelled(decoded(batch.column(body)), model)
             size = (words.end - words.begin)[: len(label)]
             weight = np.bincount(words.owner[: len(label)] * width + label, weights=size, minlength=n * width).reshape(n, width)
             total = weight.sum(1)
             best = np.where(total > 0, weight.argmax(1), len(names) - 1)
             score = weight.max(1) / np.maximum(total, 1)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
+                [*batch.columns[: len(keep)], pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
             )
 
     types = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string, score double"]))
+    return source.mapInArrow(run, ", ".join([*(f"{quoted(c)} {types[f'c{i}']}" for i, c in enumerate(keep)), "lang_pred string, score double"]))
 
 
 def spans(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """A row per span of one language: the kept columns, begin and end (code points) and lang."""
+    """A row per span of one language: the kept columns, begin and end (code points) and span_lang, which replace kept columns of these names."""
     given = docs.sparkSession.sparkContext.broadcast(model)
-    extra = [] if text in keep else [text]
-    source = docs.select(*keep, *extra)
+    keep = unmade(keep, ("begin", "end", "span_lang"))
+    given_columns = keep if text in keep else [*keep, text]
+    source, body = docs.select(placed(given_columns)), f"c{given_columns.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given.value
-        for batch in sized_batches(batches, text, 2 << 20):
-            words, label = _labelled(decoded(batch.column(text)), model)
+        for batch in sized_batches(batches, body, 2 << 20):
+            words, label = _labelled(decoded(batch.column(body)), model)
             owner = words.owner[: len(label)]
             first = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])]) if len(label) else np.zeros(0, int)
             final = np.r_[first[1:], len(label)][: len(first)] - 1
             rows = pa.array(owner[first], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(rows) for c in keep), pa.array(words.begin[first], pa.int64()), pa.array(words.end[final], pa.int64()),
+                [*(c.take(rows) for c in batch.columns[: len(keep)]), pa.array(words.begin[first], pa.int64()), pa.array(words.end[final], pa.int64()),
                  pa.array([model.languages[i] for i in label[first]], pa.string())],
                 [*keep, "begin", "end", "span_lang"],
             )
 
     types = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "begin long, end long, span_lang string"]))
+    return source.mapInArrow(run, ", ".join([*(f"{quoted(c)} {types[f'c{i}']}" for i, c in enumerate(keep)), "begin long, end long, span_lang string"]))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilohour.llm.common import BLANKS, discard, raw, sized_batches, stored
+from kilohour.llm.common import BLANKS, discard, free, placed, quoted, raw, sized_batches, stored, unmade
 
 BUCKET = 4
 BUCKETS = 1 << 16
@@ -248,20 +248,22 @@ def drop_lines(docs: DataFrame, index: LineIndex, text: str = "kept_text", least
     """All columns of the documents and the text without lines that an earlier document holds.
 
     Adds n_lines (before dropping), n_dropped and the kept text, or with ``digest`` its SHA-256 as kept_sha256 instead of
-    all columns but doc_id. The index must hold the documents' postings.
+    all columns but doc_id. Columns of the documents that bear one of these names are replaced. The index must hold the
+    documents' postings.
     """
+    result = "kept_sha256" if digest else text
+    names = [] if digest else [c for c in unmade(docs.columns, ("n_lines", "n_dropped", result)) if c != "doc_id"]
+    lost = free("_drops", docs.columns)
     drops = (
-        index.postings.join(index.repeated(), "key").where("doc_id <> first_doc").groupBy("doc_id").agg(F.collect_list("key").alias("_drops"))
+        index.postings.join(index.repeated(), "key").where("doc_id <> first_doc").groupBy("doc_id").agg(F.collect_list("key").alias(lost))
     )
-    source = docs.select("doc_id", F.col("text")) if digest else docs
-    rows = source.join(drops.hint("shuffle_hash"), "doc_id", "left")
-    names = [] if digest else [c for c in docs.columns if c != "doc_id"]
-    result = "kept_sha256" if digest else text
+    source = ["doc_id", "text", *(c for c in names if c != "text")]
+    rows = docs.select([quoted(c) for c in source]).join(drops.hint("shuffle_hash"), "doc_id", "left").select(*placed(source), lost)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "text"):
+        for batch in sized_batches(batches, "c1"):
             n_lines, n_dropped, out = [], [], []
-            for value, gone in zip(raw(batch.column("text")), batch.column("_drops").to_pylist(), strict=True):
+            for value, gone in zip(raw(batch.column("c1")), batch.column(lost).to_pylist(), strict=True):
                 value = value or b""
                 count = value.count(b"\n") + 1
                 dropped = 0
@@ -274,12 +276,12 @@ def drop_lines(docs: DataFrame, index: LineIndex, text: str = "kept_text", least
                 out.append(hashlib.sha256(value).hexdigest() if digest else value)
             made = pa.array(out, pa.string()) if digest else pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(batch.column(c) for c in names), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), made],
+                [batch.column("c0"), *(batch.column(f"c{source.index(c)}") for c in names), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), made],
                 ["doc_id", *names, "n_lines", "n_dropped", result],
             )
 
     types = dict(docs.dtypes)
-    schema = [f"doc_id {types['doc_id']}", *(f"`{c}` {types[c]}" for c in names), "n_lines long", "n_dropped long", f"`{result}` string"]
+    schema = [f"doc_id {types['doc_id']}", *(f"{quoted(c)} {types[c]}" for c in names), "n_lines long", "n_dropped long", f"`{result}` string"]
     return rows.mapInArrow(run, ", ".join(schema))
 
 

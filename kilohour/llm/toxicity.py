@@ -26,7 +26,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilohour.llm.common import decoded, discard, held_out, sized_batches, stored
+from kilohour.llm.common import decoded, discard, held_out, placed, quoted, sized_batches, stored, unmade
 from kilohour.llm.ngrams import buckets, laid_out
 
 BLOCKS = 64
@@ -144,27 +144,28 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns with score and predicted of every row."""
+    """The kept columns with score and predicted of every row; they replace kept columns of these names."""
     settings, spark = model.settings, docs.sparkSession
     given = spark.sparkContext.broadcast((model.chosen, model.weights))  # max_features numbers at most
-    extra = [] if text in keep else [text]
-    source = docs.select(*keep, *extra)
+    keep = unmade(keep, ("score", "predicted"))
+    given_columns = keep if text in keep else [*keep, text]
+    source, body = docs.select(placed(given_columns)), f"c{given_columns.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, weights = given.value
         flags = np.zeros(1 << settings.bits, bool)
         flags[chosen] = True
-        for batch in sized_batches(batches, text, 1 << 20):
+        for batch in sized_batches(batches, body, 1 << 20):
             if model.intercept is None:
                 scores = np.zeros(batch.num_rows)
             else:
-                number, bucket = _held(decoded(batch.column(text)), settings, flags)
+                number, bucket = _held(decoded(batch.column(body)), settings, flags)
                 total = np.bincount(number, weights=weights[np.searchsorted(chosen, bucket)] if len(chosen) else None, minlength=batch.num_rows)
                 scores = 1 / (1 + np.exp(-np.clip(total + model.intercept, -500, 500)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array((scores >= settings.threshold).astype(np.int32), pa.int32())],
+                [*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array((scores >= settings.threshold).astype(np.int32), pa.int32())],
                 [*keep, "score", "predicted"],
             )
 
     types = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "score double, predicted int"]))
+    return source.mapInArrow(run, ", ".join([*(f"{quoted(c)} {types[f'c{i}']}" for i, c in enumerate(keep)), "score double, predicted int"]))
