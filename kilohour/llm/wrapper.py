@@ -1,17 +1,19 @@
 """Main text of web pages by union-free regular-expression inference over the pages of a host.
 
-A page becomes a stream of block tags and texts, made well-formed (inline markup is transparent). Adjacent equal
-stretches fold into repeated groups. The streams of a host are aligned one after another into its wrapper: tags that
-only one side has become optional, repeats become groups, and texts that differ become slots. Aligning is
-associative enough to be a tree: every task aligns the pages of a host that it reads, then salted groups of the tasks'
-wrappers are aligned, then one per host. So a host with a third of all pages costs each task one wrapper.
+A page becomes a stream of block tags and texts, made well-formed (inline markup is transparent). The streams of a host
+are aligned one after another into its wrapper. Elements equal in tags and texts on both sides are its constants and anchor
+the alignment; between two anchors adjacent equal stretches fold into repeated groups, tags that only one side has become
+optional, and texts that differ become slots. Aligning is associative enough to be a tree: every task aligns the pages of
+a host that it reads, then salted groups of the tasks' wrappers are aligned, then one per host. So a host with a third of
+all pages costs each task one wrapper.
 
 The wrapper's slots are then judged once per host: slots inside article regions and outside navigation, notices,
 adverts, forms, comments and the like are its content. Class words and forms around an article or main element do not hide
 it. Each page takes the regions of its own layout: those named as the article, else the heaviest one it has. Where a host
-has no region, it is the element whose own paragraphs hold the most text, and texts that are the same on all pages count as
-template. Pages are read by their host's content slots, pages to which these give nothing by their own wrapper; the join of
-pages and wrappers is by host, and Spark splits a skewed host.
+has no region, it is the element whose own paragraphs hold the most text that varies between pages. A constant of all pages of a
+region (three at least, of which the greater part varies, as it would not among copies) is template inside it too, whatever its
+class says, unless it is a heading or one part of a list or table. Pages are matched against their host's content slots and constants, pages to which these
+give nothing against their own wrapper; the join of pages and wrappers is by host, and Spark splits a skewed host.
 
 Text rules: character references are decoded, white space inside a block becomes one blank, blocks are trimmed and
 joined by a line feed. Defined results: null or empty html and pages without content give an empty text; a page without a
@@ -39,9 +41,11 @@ from kilohour.llm.common import decoded, sized_batches, stored
 
 # Names of the markup language, by how the parser treats them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|title|svg|math|object"
+RAW = "script|style|noscript|template|iframe|textarea|title|svg|annotation-xml|annotation|object"
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var
+    math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup
+    mtable mtd mtext mtr munder munderover semantics""".split()
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 CLOSES_LIMIT = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "html"}
@@ -57,8 +61,13 @@ ASIDE_WORDS = set(
 # Words that mark blocks beside the main text, not its surroundings.
 COMMENT_WORDS = set("comment comments commentlist disqus respond reply replies discussion".split())
 BLOCK_WORDS = set("related recommended recommendations trending popular nav navbar navigation breadcrumb breadcrumbs pagination pager".split())
+INSIDE_WORDS = set("discussion popular".split())  # usual names of an article's own sections
 NOT_ARTICLE = set("comment comments reply ad ads advert sponsored related".split())
 MAIN_WORDS = set("article post entry story content main maincontent articlebody postcontent entrycontent".split())
+# Headings, which an article's sections may share from page to page, and parts of lists and tables.
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PARTS = set("li dt dd tr td th thead tbody tfoot caption figcaption summary".split())
+LEAST_PAGES = 3
 # Trees are as deep as pages nest; frames of Python functions lie on the heap, so only this number would stop their walks.
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 30))
 
@@ -122,30 +131,40 @@ def _key(name: str, attributes: str) -> str:
     return name + "".join(f"|{a}={v}" for a, v in found if v)
 
 
-# -- wrappers: an element is [key, items]; an item is [node, optional, repeated]; a text is ["#", digest or None, letters,
-# pages]; a group of several items is ["()", items]
+# -- wrappers: an element is [key, items, sign, pages], its sign a digest of all tags and texts in it, None once they vary; an
+# item is [node, optional, repeated]; a text is ["#", digest or None, letters, pages]; a group of several items is ["()", items, None, 0]
 
 
-def tree(page: str) -> list:
-    """The page's own wrapper, with repeats folded."""
-    root: list = ["", []]
+def digested(*parts: str | None) -> str | None:
+    return None if None in parts else hashlib.sha1("\0".join(parts).encode("utf-8", "replace")).hexdigest()[:16]
+
+
+def sign(node: list) -> str | None:
+    return node[1] if node[0] == "#" else node[2]
+
+
+def tree(page: str, fold: bool = True) -> list:
+    """The page's own wrapper, with repeats folded unless constants are still to be found."""
+    root: list = ["", [], None, 1]
     stack = [root]
     for kind, value in tokens(page):
         if kind == "open":
-            node: list = [value, []]
+            node: list = [value, [], None, 1]
             stack[-1][1].append([node, False, False])
             stack.append(node)
         elif kind == "close":
             done = stack.pop()
-            done[1] = folded(done[1])
+            done[2] = digested(done[0], *[sign(n) for n, _, _ in done[1]])
+            if fold:
+                done[1] = folded(done[1])
         elif kind == "text" and (text := " ".join(value.split())):
             items = stack[-1][1]
-            digest = hashlib.sha1(text.encode("utf-8", "replace")).hexdigest()[:10]
             if items and items[-1][0][0] == "#":
-                items[-1][0][1], items[-1][0][2] = None, items[-1][0][2] + len(text)
+                items[-1][0][1], items[-1][0][2] = digested(items[-1][0][1], text), items[-1][0][2] + len(text)
             else:
-                items.append([["#", digest, len(text), 1], False, False])
-    root[1] = folded(root[1])
+                items.append([["#", digested(text), len(text), 1], False, False])
+    if fold:
+        root[1] = folded(root[1])
     return root
 
 
@@ -163,33 +182,46 @@ def folded(items: list) -> list:
             names.append(name_of(item[0]))
             while len(out) >= 2 * width and names[-width:] == names[-2 * width : -width] and (width > 1 or names[-1] != "#"):
                 last, before = out[-width:], out[-2 * width : -width]
-                joint = [merged(a, b) for a, b in zip(before, last, strict=True)]
+                joint = [merged(a, b, False) for a, b in zip(before, last, strict=True)]
                 del out[-2 * width :], names[-2 * width :]
                 if width == 1:
                     out.append([joint[0][0], joint[0][1], True])
                 else:
-                    out.append([["()", joint], False, True])
+                    out.append([["()", joint, None, 0], False, True])
                 names.append(name_of(out[-1][0]))
             if width > 1 and len(out) > width and out[-width - 1][0][0] == "()" and name_of(out[-width - 1][0]) == "(" + " ".join(names[-width:]) + ")":
                 group = out[-width - 1]
-                group[0][1] = [merged(a, b) for a, b in zip(group[0][1], out[-width:], strict=True)]
+                group[0][1] = [merged(a, b, False) for a, b in zip(group[0][1], out[-width:], strict=True)]
                 group[2] = True
                 del out[-width:], names[-width:]
         items = out
     return items
 
 
-def merged(a: list, b: list) -> list:
-    """Two items of one name as one."""
+def merged(a: list, b: list, across: bool = True) -> list:
+    """Two items of one name as one, of different pages or of the same."""
     x, y = a[0], b[0]
-    if x[0] == "#":
-        node = ["#", x[1] if x[1] == y[1] else None, x[2] + y[2], x[3] + y[3]]
-    else:
-        node = [x[0], aligned(x[1], y[1])]
+    same = sign(x) if sign(x) == sign(y) else None
+    pages = x[3] + y[3] if across else max(x[3], y[3])
+    node = ["#", same, x[2] + y[2], pages] if x[0] == "#" else [x[0], aligned(x[1], y[1], across), same, pages]
     return [node, a[1] or b[1], a[2] or b[2]]
 
 
-def aligned(left: list, right: list) -> list:
+def aligned(left: list, right: list, across: bool = True) -> list:
+    """One sequence that both match: constants that both have, in order, and what is between them aligned by name."""
+    a, b = [sign(i[0]) for i in left], [sign(i[0]) for i in right]
+    both = (set(a) & set(b)) - {None}
+    at, to = [k for k, x in enumerate(a) if x in both], [k for k, x in enumerate(b) if x in both]
+    out, i, j = [], 0, 0
+    for p, q in [*((at[m], to[n]) for m, n in _common([a[k] for k in at], [b[k] for k in to])), (len(a), len(b))]:
+        out += _by_name(folded(left[i:p]), folded(right[j:q]), across)
+        if p < len(a):
+            out.append(merged(left[p], right[q], across))
+        i, j = p + 1, q + 1
+    return out
+
+
+def _by_name(left: list, right: list, across: bool) -> list:
     """One sequence that both match: common items in order, the others optional."""
     left, right = _grouped(left, right), _grouped(right, left)
     a, b = [name_of(i[0]) for i in left], [name_of(i[0]) for i in right]
@@ -197,7 +229,7 @@ def aligned(left: list, right: list) -> list:
     for p, q in [*_common(a, b), (len(a), len(b))]:
         out += [[n, True, r] for n, _, r in left[i:p]] + [[n, True, r] for n, _, r in right[j:q]]
         if p < len(a):
-            out.append(merged(left[p], right[q]))
+            out.append(merged(left[p], right[q], across))
         i, j = p + 1, q + 1
     return folded(out)
 
@@ -211,7 +243,7 @@ def _grouped(items: list, other: list) -> list:
         have = [name_of(i[0]) for i in items]
         while k < len(items):
             if have[k : k + width] == names:
-                out.append([["()", items[k : k + width]], False, False])
+                out.append([["()", items[k : k + width], None, 0], False, False])
                 k += width
             else:
                 out.append(items[k])
@@ -222,6 +254,11 @@ def _grouped(items: list, other: list) -> list:
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence; long sequences are halved where both halves' lengths add up to most."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    if start:
+        return [(k, k) for k in range(start)] + [(i + start, j + start) for i, j in _common(a[start:], b[start:])]
     if len(a) * len(b) > 1_000_000:
         if len(a) == 1:
             return [(0, b.index(a[0]))] if a[0] in b else []
@@ -266,7 +303,7 @@ def _lengths(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def join(a: list | None, b: list) -> list:
-    return b if a is None else [a[0], aligned(a[1], b[1])]
+    return b if a is None else [a[0], aligned(a[1], b[1]), None, a[3] + b[3]]
 
 
 def dumped(wrapper: list) -> str:
@@ -277,7 +314,7 @@ def dumped(wrapper: list) -> str:
         if node[0] == "#":
             out.append([*node, optional, repeated])
         else:
-            out.append([node[0], len(node[1]), optional, repeated])
+            out.append([node[0], len(node[1]), *node[2:], optional, repeated])
             todo += reversed(node[1])
     return json.dumps(out)
 
@@ -292,7 +329,7 @@ def loaded(text: str) -> list:
         if node[0] == "#":
             items.append([node, optional, repeated])
         else:
-            items.append([[node[0], []], optional, repeated])
+            items.append([[node[0], [], *node[2:]], optional, repeated])
             open_.append((items[-1][0][1], node[1]))
     return top[0][0]
 
@@ -324,7 +361,7 @@ def is_aside(key: str, in_region: bool) -> bool:
     name, values = _parts(key)
     if name == "header" and in_region:
         return False
-    words = _words(values)
+    words = _words(values) - (INSIDE_WORDS if in_region else set())
     return name in ASIDE or values.get("role") in ASIDE_ROLES or (name not in ("html", "body", "article", "main") and bool(words & ASIDE_WORDS)) or (
         name == "article" and bool(words & NOT_ARTICLE)
     )
@@ -347,7 +384,7 @@ def severity(key: str, in_region: bool, wide: bool) -> int:
     if not is_aside(key, in_region):
         return 0
     name, values = _parts(key)
-    words = _words(values)
+    words = _words(values) - (INSIDE_WORDS if in_region else set())
     if name in ASIDE - {"form"} or values.get("role") in ASIDE_ROLES - {"form"} or name == "article" or words & COMMENT_WORDS:
         return 3
     if words & BLOCK_WORDS:
@@ -365,28 +402,40 @@ NAMED, HEAVIEST, SURROUNDED, UNNAMED = range(4)
 
 
 def content_slots(wrapper: list, pages: int) -> list[str]:
-    """Rank, region and path of the text slots that are content; a page takes the first rank that gives it text.
+    """Rank, region and path of the text slots that are content, and path and sign of constants in them that are not (rank ``-``).
 
-    NAMED: regions named as the article. HEAVIEST: regions by class or inside a form or the like, of which a page takes the
-    one that holds most. SURROUNDED: named ones inside related or navigation words that hold most of the text. UNNAMED: the
-    element whose own paragraphs hold the most text, if no region has any.
+    A page takes the first rank that gives it text. NAMED: regions named as the article. HEAVIEST: regions by class or inside a
+    form or the like, of which a page takes the one that holds most. SURROUNDED: named ones inside related or navigation words
+    that hold most of the text. UNNAMED: the element whose own paragraphs hold the most text that varies, if no region has any.
     """
-    keys, parents, known = [""], [0], {}
+    keys, parents, known, seen = [""], [0], {}, [pages]
     slots: list[tuple[int, list]] = []
-    todo = [(wrapper, 0)]
+    constants: list[tuple[int, list, list[int]]] = []  # path, node, and the slots in it from and to
+    todo: list[tuple] = [(wrapper, 0, False)]
     while todo:
-        node, at = todo.pop()
+        node, at, inside = todo.pop()
+        if at is None:
+            constants[node][2].append(len(slots))
+            continue
+        if not inside and node[0] not in ("", "()") and node[2] is not None and node[3] >= LEAST_PAGES:
+            todo.append((len(constants), None, False))
+            constants.append((at, node, [len(slots)]))
+            inside = True
+        children = []
         for child, _, _ in node[1]:
             if child[0] == "#":
                 slots.append((at, child))
             elif child[0] == "()":
-                todo.append((child, at))
+                children.append((child, at, inside))
             else:
                 k = known.setdefault((at, child[0]), len(keys))
                 if k == len(keys):
                     keys.append(child[0])
                     parents.append(at)
-                todo.append((child, k))
+                    seen.append(0)
+                seen[k] = min(pages, seen[k] + child[3])
+                children.append((child, k, inside))
+        todo += children
     letters = [0] * len(keys)
     for at, slot in slots:
         letters[at] += slot[2]
@@ -412,24 +461,60 @@ def content_slots(wrapper: list, pages: int) -> list[str]:
         hidden.append(0 if region[k] == k else max(hidden[p], own))
     if any(region[at] for at, _ in slots) or named and pages == 1:
         kept = {at for at, _ in slots if region[at] and not hidden[at]}
+        within = region
     else:
         outside = [(at, s) for at, s in slots if not hidden[at]] or [(at, s) for at, s in slots if hidden[at] < 2]
+        varying = [(at, s) for at, s in outside if pages == 1 or s[1] is None or s[3] < pages] or outside
         own_text: dict[int, int] = {}
-        for at, slot in outside:
+        for at, slot in varying:
             parent = parents[at] if _parts(keys[at])[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") else at
             own_text[parent] = own_text.get(parent, 0) + slot[2]
         top = max(own_text, key=lambda k: (own_text[k], -depth[k]), default=0)
-        inside = [k == top for k in range(len(keys))]
+        inside_top = [k == top for k in range(len(keys))]
         for k in range(1, len(keys)):
-            inside[k] |= inside[parents[k]]
-        template = {at for at, s in outside if pages > 1 and s[1] is not None and s[3] >= pages}
-        kept = {at for at, _ in outside if inside[at]} - (template if len(template) < len(outside) else set())
-    return sorted(f"{rank[k]} {ids[region[k]] or '-'} {ids[k] or '-'}" for k in kept)
+            inside_top[k] |= inside_top[parents[k]]
+        kept = {at for at, _ in varying if inside_top[at]}
+        within = [top if x else -1 for x in inside_top]
+    return sorted(f"{rank[k]} {ids[region[k]] or '-'} {ids[k] or '-'}" for k in kept) + sorted(
+        f"- {ids[k]} {s}" for k, s in _template(constants, slots, kept, within, keys, seen)
+    )
+
+
+def _template(constants: list, slots: list, kept: set[int], within: list[int], keys: list[str], seen: list[int]) -> set[tuple[int, str]]:
+    """Path and sign of the constants that all pages of their region have, where the greater part of its text varies."""
+    all_letters: dict[int, int] = {}
+    for at, slot in slots:
+        if at in kept:
+            all_letters[within[at]] = all_letters.get(within[at], 0) + slot[2]
+    found: dict[int, dict[tuple[int, str], list[int]]] = {}
+    for at, node, (start, stop) in constants:
+        held = [(k, s) for k, s in slots[start:stop] if k in kept and _parts(keys[k])[0] not in HEADINGS]
+        if held and _parts(keys[at])[0] not in PARTS and at != within[at] and node[3] >= seen[max(within[at], 0)]:
+            size = found.setdefault(within[held[0][0]], {}).setdefault((at, node[2]), [0])
+            size[0] += sum(s[2] for k, s in slots[start:stop] if k in kept)
+    return {c for region, some in found.items() if 2 * sum(n for n, in some.values()) < all_letters[region] for c in some}
+
+
+def signs(page: str) -> list[str | None]:
+    """The signs of the page's elements, in the order in which they open."""
+    out, todo = [], [tree(page, False)]
+    while todo:
+        node = todo.pop()
+        out.append(node[2])
+        todo += [n for n, _, _ in reversed(node[1]) if n[0] != "#"]
+    return out[1:]
 
 
 def extract(page: str, slots: list[str]) -> str:
-    """Blocks whose slot is content, in page order."""
-    places = {slot: (int(rank), region) for rank, region, slot in map(str.split, slots)}
+    """Blocks whose slot is content and that are none of its constants, in page order."""
+    places, constants = {}, set()
+    for rank, region, slot in map(str.split, slots):
+        if rank == "-":
+            constants.add((region, slot))
+        else:
+            places[slot] = (int(rank), region)
+    met = iter(signs(page)) if constants else None
+    skipped = 0  # the depth of the constant that the page is in
     path = [""]
     blocks: list[tuple[tuple[int, str], str]] = []
     held: list[str] = []
@@ -442,13 +527,17 @@ def extract(page: str, slots: list[str]) -> str:
 
     for kind, value in tokens(page):
         if kind == "text":
-            if place:
+            if place and not skipped:
                 held.append(value)
             continue
         flush()
         if kind == "open":
             path.append(path_id(path[-1], value))
+            if met and (path[-1], next(met)) in constants and not skipped:
+                skipped = len(path)
         elif kind == "close":
+            if skipped == len(path):
+                skipped = 0
             path.pop()
         place = places.get(path[-1] or "-")
     flush()
@@ -485,7 +574,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in sized_batches(batches, "html"):
             for host, page in zip(batch.column("host").to_pylist(), decoded(batch.column("html")), strict=True):
                 n, so_far = held.get(host, (0, None))
-                held[host] = (n + 1, join(so_far, tree(page)))
+                held[host] = (n + 1, join(so_far, tree(page, False)))
             if len(held) > HOSTS_HELD:
                 yield flush()
         yield flush()

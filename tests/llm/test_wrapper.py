@@ -96,3 +96,61 @@ def test_long_alignments_are_longest():
                 row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
         assert len(pairs) == row[-1]
     assert wrapper._common(["x"], ["y"] * 1_100_000 + ["x"]) == [(0, 1_100_000)]
+
+
+NOTICE = "<div class=x7><h4>Daily digest</h4><p>Have our letter sent to you.</p></div>"
+PLANTED = "<body><div class=q1><p>House rules for all who come by, long enough to outweigh a story.</p></div><article><h1>Title {0}</h1><p>Story {0} has so many words of its own that they outweigh.</p>{1}<h2>Sources</h2><ul><li>one {0}<li>all</ul><p>{2}</p><p>All rights with us.</p></article></body>"
+
+
+def joined(pages, align=wrapper.aligned):
+    joint = None
+    for p in pages:
+        page = wrapper.tree(p, False)
+        joint = page if joint is None else ["", align(joint[1], page[1]), None, joint[3] + page[3]]
+    slots = wrapper.content_slots(wrapper.loaded(wrapper.dumped(joint)), len(pages))
+    return [wrapper.page_text(p, slots) for p in pages]
+
+
+def test_constants_inside_an_article_are_template_and_only_alignment_tells():
+    pages = [PLANTED.format(f"n{i}", NOTICE, " ".join(["end", str(i)] * (i + 1))) for i in range(5)]
+    want = [f"Title n{i}\nStory n{i} has so many words of its own that they outweigh.\nSources\none n{i}\nall\n" + " ".join(["end", str(i)] * (i + 1)) for i in range(5)]
+    assert joined(pages) == want
+    # pages beside each other instead of aligned have no constants, and other hosts have others
+    assert all("Daily digest" in t and "All rights" in t for t in joined(pages, lambda a, b: [*a, *b]))
+    others = [PLANTED.format(f"m{i}", "", f"rest {i}") .replace("All rights with us", f"Rights {i}") for i in range(5)]
+    mixed = joined([pages[0], *others[1:]])
+    assert "Daily digest" in mixed[0] and "All rights" in mixed[0]
+    # any order and any grouping of the pages gives the same constants
+    assert joined(pages[::-1]) == want[::-1]
+    halves = [wrapper.join(wrapper.tree(a, False), wrapper.tree(b, False)) for a, b in (pages[:2], pages[2:4])]
+    joint = wrapper.join(wrapper.join(*halves), wrapper.tree(pages[4], False))
+    slots = wrapper.content_slots(wrapper.loaded(wrapper.dumped(joint)), 5)
+    assert [wrapper.page_text(p, slots) for p in pages] == want
+
+
+def test_copies_and_two_pages_lose_nothing():
+    page = PLANTED.format("n", NOTICE, "same")
+    whole = "Title n\nStory n has so many words of its own that they outweigh.\nDaily digest\nHave our letter sent to you.\nSources\none n\nall\nsame\nAll rights with us."
+    assert joined([page] * 6) == [whole] * 6
+    near = [page.replace("same", f"same {i}") for i in range(6)]
+    assert joined(near) == [whole.replace("same", f"same {i}") for i in range(6)]
+    assert all("Daily digest" in t for t in joined([PLANTED.format(i, NOTICE, i) for i in range(2)]))
+
+
+def test_without_a_region_the_text_that_varies_is_read():
+    page = "<body><div class=a1><p>{1}</p></div><div class=b2><p>Short story {0}</p><p>of two parts {0}</p><p>Same on all.</p></div></body>"
+    rules = "A very long text that is the same on all pages of the site and says nothing of the story. " * 3
+    got = joined([page.format(f"w{i}", rules) for i in range(4)])
+    assert got == [f"Short story w{i}\nof two parts w{i}" for i in range(4)]
+
+
+def test_sections_of_an_article_and_formulas_stay():
+    page = "<article><p>Text {0}</p><section class=discussion><h2>Discussion</h2><p>We find {0}</p></section><ul class=popular><li>a {0}</ul><p>So <math><mi>x</mi><mo>=</mo><mn>{0}</mn></math> holds.</p><div class=comments>Nice {0}</div></article>"
+    assert joined([page.format(i) for i in range(3)]) == [f"Text {i}\nDiscussion\nWe find {i}\na {i}\nSo x={i} holds." for i in range(3)]
+
+
+def test_extraction_on_spark_drops_constants(spark):
+    pages = [(i, "http://planted.example/%d" % i, PLANTED.format(f"n{i}", NOTICE, f"rest of page {i}")) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(df).collect()}
+    assert got == {i: f"Title n{i}\nStory n{i} has so many words of its own that they outweigh.\nSources\none n{i}\nall\nrest of page {i}" for i in range(40)}
