@@ -1,6 +1,9 @@
+import base64
 import hashlib
 import random
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from kilohour.llm import merkle
@@ -41,24 +44,61 @@ def test_repeated_ids_null_id_and_empty_table(spark):
     assert merkle.compare(df.limit(0)).count() == 0
 
 
-def leaves(text):
-    """Runs of a text, point by point."""
-    ends, out = merkle.endings(), set()
+def leaves(line):
+    """Runs of a line, point by point."""
+    ends, out, run = merkle.endings(), [], ""
     fits = lambda c, k: ord(c) in ends[k][0] if c < "\x80" else c.encode()[-1] in ends[k][1]
-    for line in text.split("\n"):
-        run = ""
-        for c in line:
-            run += c
-            if len(run) == merkle.LONGEST or len(run) >= 4 and all(fits(x, k) for k, x in enumerate(run[-4:])):
-                out.add(run)
-                run = ""
-        out |= {run} - {""}
-    return out
+    for c in line:
+        run += c
+        if len(run) == merkle.LONGEST or len(run) >= 4 and all(fits(x, k) for k, x in enumerate(run[-4:])):
+            out.append(run)
+            run = ""
+    return out + [run] if run else out
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain(text):
+    """The fingerprint, node by node."""
+    short = lambda r: base64.b64encode(xxhash.xxh64(r.encode().decode("latin-1").encode(), seed=42).digest())[:8].decode()
+    lines = text.split("\n")
+    runs = [[short(r) for r in leaves(line)] for line in lines]
+    digests = [sha("".join(r) + "\n" + line) for r, line in zip(runs, lines, strict=True)]
+    sections = [[]]
+    for k, d in enumerate(digests):
+        sections[-1].append(d)
+        if d[0] in "01" and k + 1 < len(digests):
+            sections.append([])
+    tops = [sha("".join(x)) for x in sections]
+    parts = (t[:16] for t in tops), (str(len(x)) for x in sections), (d[:12] for d in digests), (str(len(r)) for r in runs), (x for r in runs for x in r)
+    return ":".join([sha("".join(tops)), *(".".join(x) for x in parts)])
 
 
 def alike(one, two):
-    a, b = leaves(one), leaves(two)
-    return 1.0 if one == two else 2 * len(a & b) / (len(a) + len(b) if a and b else 1)
+    a, b = ([[x for x in part.split(".") if x] for part in plain(t).split(":")] for t in (one, two))
+    if one == two:
+        return 1.0
+    if not a[5] or not b[5]:
+        return 0.0
+    met = lambda k: sum((Counter(a[k]) & Counter(b[k])).values())
+    return 2 * (met(5) + (met(1) + met(3)) / 8) / (len(a[5]) + len(b[5]) + sum(len(x[k]) for x in (a, b) for k in (0, 1, 3)) / 8)
+
+
+def test_digests_and_likeness_against_a_plain_tree(spark):
+    pick = random.Random(8)
+    lines = ["".join(pick.choice("abcdefgh éß世界") for _ in range(pick.randrange(90))) for _ in range(80)]
+    text = "\n".join(lines)
+    pairs = [(text, text), (text, "\n".join(lines[::-1])), (text, "\n".join([text] * 50)), (text, "\n".join(lines[:40])), (text, ""), ("", "\n\n"), ("\n", "\n\n\n"), ("", "")]
+    pairs += [("\n".join(pick.choices(lines, k=30)), "\n".join(pick.choices(lines, k=30))) for _ in range(5)] + [("one line", "one line\n")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", merkle.fingerprint(F.col("a")).alias("x"), merkle.fingerprint(F.col("b")).alias("y"))
+    got = {(r["a"], r["b"]): r for r in df.withColumn("near", merkle.likeness(F.col("x"), F.col("y"))).collect()}
+    for a, b in pairs:
+        r = got[a, b]
+        assert r["x"] == plain(a) and r["y"] == plain(b) and abs(r["near"] - alike(a, b)) < 1e-12
+        assert (r["near"] == 1) == (a == b)
+    assert got[pairs[1]]["near"] > 0.9 and got[pairs[2]]["near"] < 0.05 and 0.5 < got[pairs[3]]["near"] < 0.8 and got[pairs[4]]["near"] == 0
 
 
 def test_likeness_against_a_plain_tree_on_unspaced_texts_and_inserts(spark):
