@@ -97,28 +97,31 @@ def fingerprint(text: Column) -> Column:
 
 def level(print_: Column, number: int) -> Column:
     """The list at a place of a fingerprint; an empty one has no elements."""
-    return F.array_remove(F.split(F.split_part(print_, F.lit(":"), F.lit(number)), r"\."), "")
+    part = F.split_part(print_, F.lit(":"), F.lit(number))
+    return let(part, lambda p: F.when(p == "", F.array().cast("array<string>")).otherwise(F.split(p, r"\.")))
 
 
 def common(one: Column, two: Column) -> Column:
-    """How many elements two sorted arrays share, repeated ones as often as both have them: one merge of both."""
+    """How many elements two arrays share, repeated ones as often as both have them: where both have some, one merge of both, sorted."""
 
-    def step(state: Column, _: Column) -> Column:
-        a, b = F.get(one, state["i"]), F.get(two, state["j"])
-        move = lambda i, j, n: F.struct((state["i"] + i).alias("i"), (state["j"] + j).alias("j"), (state["n"] + n).alias("n"))
-        return F.when(a < b, move(1, 0, 0)).when(a > b, move(0, 1, 0)).when(a == b, move(1, 1, 1)).otherwise(state)  # one is at its end
+    def merge(a: Column, b: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            x, y = F.get(a, state["i"]), F.get(b, state["j"])
+            move = lambda i, j, n: F.struct((state["i"] + i).alias("i"), (state["j"] + j).alias("j"), (state["n"] + n).alias("n"))
+            return F.when(x < y, move(1, 0, 0)).when(x > y, move(0, 1, 0)).when(x == y, move(1, 1, 1)).otherwise(state)  # one is at its end
+
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), zero, step, lambda state: state["n"])
 
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
-    # where nothing repeats, the sets say the same
     distinct = (F.size(F.array_distinct(one)) == F.size(one)) | (F.size(F.array_distinct(two)) == F.size(two))
-    merged = F.aggregate(F.sequence(F.lit(1), F.size(one) + F.size(two)), zero, step, lambda state: state["n"])
+    merged = let(F.sort_array(one), lambda a: let(F.sort_array(two), lambda b: merge(a, b)))
     return F.when(distinct, F.size(F.array_intersect(one, two))).otherwise(merged)
 
 
 def likeness(one: Column, two: Column) -> Column:
     """From 0 to 1, from two fingerprints alone."""
-    inner = lambda x: F.sort_array(F.concat(level(x, 2), level(x, 4)))
-    runs = lambda x: F.sort_array(level(x, 6))
+    inner = lambda x: F.concat(level(x, 2), level(x, 4))
+    runs = lambda x: level(x, 6)
 
     def of_runs(a: Column) -> Column:
         return let(runs(two), lambda b: F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(let(inner(one), lambda c: let(inner(two), lambda d: share(a, b, c, d)))))
