@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import accumulate
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,36 +38,49 @@ def page(
     return rows.orderBy(*order).offset(offset).limit(limit), info
 
 
+# Most rows of one stored file of ranges, and most ranges in it.
+FILE_ROWS, FILE_RANGES = 500_000, 64
+
+
 @dataclass(frozen=True)
 class PageDirectory:
-    """A listing stored in ranges of its order, with the rows of each range: any page is read from the ranges it touches."""
+    """A listing stored in ranges of its order, with the rows of each range: any page is read from the ranges it touches.
+
+    ``_part`` numbers the stored files and ``_at`` the rows over all of them in the listing's order. Range ``i`` holds
+    ``counts[i]`` rows from ``_at = firsts[i]`` on, all of them in one part.
+    """
 
     path: str
     order: tuple[Column | str, ...]
     counts: tuple[int, ...]
+    firsts: tuple[int, ...]
+
+    @cached_property
+    def starts(self) -> list[int]:
+        """Rows before each range, and the total."""
+        return [0, *accumulate(self.counts)]
 
     @property
     def total(self) -> int:
-        return sum(self.counts)
+        return self.starts[-1]
 
     def touched(self, limit: int, offset: int) -> tuple[list[int], int]:
         """Ranges that hold rows offset .. offset + limit - 1, and how many rows of the first one come before them."""
-        parts, skip, start = [], 0, 0
-        for part, n in enumerate(self.counts):
-            if n and start < offset + limit and start + n > offset:
-                if not parts:
-                    skip = offset - start
-                parts.append(part)
-            start += n
-        return parts, skip
+        low, high = max(offset, 0), min(offset + limit, self.total)
+        if low >= high:
+            return [], 0
+        first, last = bisect_right(self.starts, low) - 1, bisect_left(self.starts, high)
+        return [i for i in range(first, last) if self.counts[i]], offset - self.starts[first]
 
     def page(self, spark: SparkSession, *, limit: int, offset: int = 0) -> DataFrame:
-        """Rows of one page in order; empty behind the end. Only the files of the ranges it touches are read."""
+        """Rows of one page in order; empty behind the end. Only the ranges it touches are read, by part and position."""
         if limit < 0 or offset < 0:
             raise ValueError("limit and offset must not be negative")
         parts, skip = self.touched(limit, offset)
-        rows = spark.read.parquet(self.path).where(F.col("_part").isin(parts)).drop("_part")
-        return rows.orderBy(*self.order).offset(max(0, skip)).limit(limit if parts else 0)
+        low, high = (self.firsts[parts[0]], self.firsts[parts[-1]] + self.counts[parts[-1]]) if parts else (0, 0)
+        files = sorted({self.firsts[i] >> 33 for i in parts})
+        stored = spark.read.parquet(self.path).where(F.col("_part").isin(files) & (F.col("_at") >= low) & (F.col("_at") < high))
+        return stored.drop("_part", "_at").orderBy(*self.order).offset(max(0, skip)).limit(limit if parts else 0)
 
     def info(self, spark: SparkSession, *, limit: int, offset: int = 0) -> DataFrame:
         """limit, offset, total, returned and has_more of a page, without reading rows."""
@@ -78,20 +94,31 @@ def page_directory(
 ) -> PageDirectory:
     """Store a listing for deep paging. End ``order`` with a unique id; rows that tie in all of it may swap pages.
 
-    One range sort cuts the rows into about ``rows_per_part`` each; borders come from a sample, the directory from counts, so
-    uneven ranges cost reading, not correctness. Rows with equal order values share a range. The driver holds a number a range.
+    One range sort cuts the rows into files of several ranges; borders come from a sample, the directory from counts, so
+    uneven files cost reading, not correctness. Rows with equal order values share a file. The rows of a file are numbered
+    in order and cut into even ranges of ``rows_per_part`` rows at most. So the tasks, and what they tell the driver,
+    follow the files, not the ranges; the driver holds two numbers a range.
     """
-    if "_part" in df.columns:
-        raise ValueError("a listed column may not be named _part")
+    if {"_part", "_at"} & set(df.columns):
+        raise ValueError("a listed column may not be named _part or _at")
     rows = filtered(df, equal or {})
-    parts = max(1, -(-rows.count() // rows_per_part))
+    total = rows.count()
+    files = max(1, -(-total // (rows_per_part * max(1, min(FILE_RANGES, FILE_ROWS // rows_per_part)))))
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/pages-{uuid4().hex}"
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    ranged.write.partitionBy("_part").parquet(path)
-    if rows.isEmpty():
-        rows.withColumn("_part", F.lit(0)).write.mode("overwrite").parquet(path)
-    found = {r["_part"]: r["count"] for r in df.sparkSession.read.parquet(path).groupBy("_part").count().collect()}
-    return PageDirectory(path, tuple(order), tuple(found.get(i, 0) for i in range(max(found, default=-1) + 1)))
+    ranged = rows.repartitionByRange(files, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *order)
+    # the id is the partition's number shifted by 33 bits plus the row's place in it
+    ranged.withColumn("_at", F.monotonically_increasing_id()).write.partitionBy("_part").parquet(path)
+    if not total:
+        empty = rows.withColumns({"_part": F.lit(0), "_at": F.lit(0).cast("long")})
+        empty.write.mode("overwrite").parquet(path)
+    sizes = df.sparkSession.read.parquet(path).groupBy("_part").count().collect()
+    firsts, counts = [], []
+    for part, n in sorted((r["_part"], r["count"]) for r in sizes):
+        ranges = -(-n // rows_per_part)
+        cuts = [n * i // ranges for i in range(ranges + 1)]
+        firsts += [(part << 33) + cut for cut in cuts[:-1]]
+        counts += [b - a for a, b in zip(cuts, cuts[1:])]
+    return PageDirectory(path, tuple(order), tuple(counts), tuple(firsts))
 
 
 def complete_horizons(forecasts: DataFrame, horizon: int) -> DataFrame:

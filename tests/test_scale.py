@@ -174,3 +174,26 @@ def test_deep_pages_read_two_ranges_at_most(spark):
         reads.page_directory(df.withColumn("_part", F.lit(1)), order)
     with pytest.raises(ValueError):
         listing.page(spark, limit=-1)
+
+
+def test_a_listing_of_many_ranges_is_written_by_few_tasks(spark, monkeypatch):
+    """300 ranges in five files: tasks, files and what the driver gets follow the files; each page reads its rows only."""
+    monkeypatch.setattr(reads, "FILE_ROWS", 600)
+    df = spark.range(3_000).select(((F.col("id") * 7919) % 3_000).alias("id"), (F.col("id") % 7).alias("v")).repartition(3)
+    order = [F.desc("v"), "id"]
+    listing = reads.page_directory(df, order, rows_per_part=10)
+    assert len(listing.counts) >= 300 and max(listing.counts) <= 10 and sum(listing.counts) == 3_000
+    assert len(spark.read.parquet(listing.path).inputFiles()) <= 5
+    want = [r["id"] for r in df.orderBy(*order).collect()]
+    for limit, offset in ((10, 0), (7, 1_234), (25, 595), (3, 2_998), (3_000, 0)):
+        page = listing.page(spark, limit=limit, offset=offset)
+        assert [r["id"] for r in page.collect()] == want[offset : offset + limit], (limit, offset)
+    assert "PushedFilters: [IsNotNull(_at), GreaterThanOrEqual(_at" in listing.page(spark, limit=5, offset=777)._jdf.queryExecution().toString()
+    found, start = {}, 0
+    for part, n in enumerate(listing.counts):
+        found |= dict.fromkeys(range(start, start + n), part)
+        start += n
+    for limit, offset in ((1, 0), (9, 4), (40, 1_111), (9, 2_995), (5, 3_000)):
+        parts, skip = listing.touched(limit, offset)
+        assert parts == sorted({found[i] for i in range(offset, offset + limit) if i in found})
+        assert skip == (offset - sum(listing.counts[: parts[0]]) if parts else 0)
