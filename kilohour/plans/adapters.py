@@ -182,13 +182,22 @@ def forecasts(spark: SparkSession, sf_dir: str, target: str = "demand_mw") -> Da
 
 
 def dispatch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dispatch schedules: one run per battery of the fleet, arithmetic over the hourly series of its region."""
+    """Dispatch schedules: one run per battery of the fleet, arithmetic over the hourly series of its region.
+
+    Hours and batteries are small tables but their pairs are many rows of few regions. So batteries are dealt into
+    shares, and the tasks of both repartitions take some shares each, whichever side of the join is broadcast. Their
+    key is not in the order of the distinct one: Spark would take its few, coalesced partitions for theirs.
+    """
     d, n = F.col("demand_mw"), F.col("readings")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = ["_share", "region"]
+    fleet = batteries(spark, sf_dir).select("region", "battery_id", F.pmod(F.xxhash64("battery_id"), F.lit(4 * tasks)).alias("_share"))
+    hours = hourly_by_type(spark, sf_dir).join(fleet.select("region", "_share").distinct(), "region")
     charge = F.when(n % 3 == 0, n * 2.0).otherwise(0.0)
     discharge = F.when(n % 3 == 1, n * 1.5).otherwise(0.0)
     return (
-        hourly_by_type(spark, sf_dir)
-        .join(batteries(spark, sf_dir).select("region", "battery_id"), "region")
+        hours.repartition(tasks, *share)
+        .join(fleet.repartition(tasks, *share), share)
         .select(
             F.concat(F.lit("run-"), F.col("battery_id")).alias("dispatch_run_id"), "region", "battery_id",
             F.lit("2024-01-01").cast("timestamp").alias("forecast_origin"), "timestamp_utc",

@@ -1,5 +1,6 @@
 """Metrics, baselines, models, forests, dispatch, jobs and the alert stream."""
 
+import collections
 import random
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from kilohour import contracts
 from kilohour.errors import ContractViolation, InsufficientHistory
 from kilohour.operators import dispatch, features, forecast, forest, metrics, models, reads
-from kilohour.plans import jobs
+from kilohour.plans import adapters, jobs
 from kilohour.streaming.alerts import alert_stream
 
 START = pd.Timestamp("2024-01-01")
@@ -199,3 +200,32 @@ def test_detection_job_and_alert_stream(spark, tmp_path):
     last = max(p.name for p in (tmp_path / "alerts").glob("version=*"))
     streamed = {(r["alert_id"], r["occurrence_count"]) for r in spark.read.parquet(str(tmp_path / "alerts" / last)).collect()}
     assert streamed == {(r["alert_id"], r["occurrence_count"]) for r in out.alerts.alerts.collect()}
+
+
+@pytest.mark.parametrize("hours, fleet", [(2, 400), (200, 40)])
+def test_dispatch_points_are_made_by_many_tasks(spark, tmp_path, hours, fleet):
+    """Few hours of five regions and many batteries, or the other way round: the pairs of both are spread, and each comes once."""
+    types = ["click", "error", "purchase", "signup", "view"]
+    events = [((START + pd.Timedelta(minutes=20 * i)).to_pydatetime(), t, float(i % 9)) for i in range(3 * hours) for t in types]
+    spark.createDataFrame(events, "ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    keys = [*range(fleet), 7]  # a battery twice
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    points = adapters.dispatch_points(spark, str(tmp_path))
+    rows = points.select("dispatch_run_id", "region", "timestamp_utc", F.spark_partition_id().alias("task")).collect()
+    tasks = collections.Counter(r["task"] for r in rows)
+    assert len(tasks) > 1 and max(tasks.values()) < 0.6 * len(rows)
+    want = sorted((f"run-b{k}", types[k % 5], hour(i)) for k in keys for i in range(hours))
+    assert sorted((r["dispatch_run_id"], r["region"], r["timestamp_utc"]) for r in rows) == want
+
+
+def test_realised_schedule_is_not_shuffled_to_its_few_actuals(spark):
+    made = dispatch.policy_schedules(dispatch_inputs(spark), battery(spark), created_at=at("2024-02-01"))
+    actuals = dispatch_inputs(spark).select("region", "timestamp_utc", *dispatch.REALISED).groupBy("region", "timestamp_utc").agg(
+        *[F.max(c).alias(c) for c in dispatch.REALISED]
+    )
+    schedule = made.repartition(3, "battery_id")
+    out = dispatch.apply_realised(schedule, actuals.withColumn("demand_forecast_mw", F.lit(500.0)), check=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("REPARTITION_BY_NUM")[0] and "BroadcastHashJoin" in plan.split("REPARTITION_BY_NUM")[0]
+    planned = F.get_json_object("metadata_json", "$.optimization_forecast.demand_forecast_mw").cast("double")
+    assert sorted((r[0], r[1]) for r in out.select("demand_forecast_mw", planned).collect()) == [(500.0, 60.0), (500.0, 70.0), (500.0, 130.0), (500.0, 140.0)]
