@@ -13,6 +13,7 @@ from kilohour.functions.ordered import walk
 from kilohour.functions.scoring import clamp
 from kilohour.series import HOURLY
 from kilohour.operators.joins import checked_join
+from kilohour.session import cut_lineage
 
 # Columns of the battery table.
 BATTERY_NUMBERS = (
@@ -188,7 +189,8 @@ def historical_actuals(demand: DataFrame, renewables: DataFrame) -> DataFrame:
 
 
 def _with_actuals(rows: DataFrame, actuals: DataFrame, check: bool) -> DataFrame:
-    real = actuals.select("region", "timestamp_utc", *[F.col(c).alias(f"_real_{c}") for c in REALISED])
+    # Stored, so their size is known: few observations are broadcast, and the schedule is not shuffled to meet them.
+    real = cut_lineage(actuals.select("region", "timestamp_utc", *[F.col(c).alias(f"_real_{c}") for c in REALISED]))
     joined = checked_join(rows, real, HOURLY.key) if check else rows.join(real, HOURLY.key, "left")
     lacking = F.lit(False)
     for c in REALISED:
